@@ -19,6 +19,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from struct import pack
 
@@ -162,10 +163,16 @@ class Codec:
         return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
 
 
+@lru_cache(maxsize=1)
+def worker_codec(vocabulary: str, seed: int, rate: float) -> Codec:
+    """The codec of this worker process: a later task finds the segments that earlier ones met."""
+    return Codec(vocabulary, seed, rate)
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, lossless, ids of each row; decoding is done on every row."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary, seed, rate)
+        codec = worker_codec(vocabulary, seed, rate)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0

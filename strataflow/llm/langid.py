@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,7 @@ class Model:
     prior: np.ndarray
 
     def __post_init__(self):
+        self.key = uuid.uuid4().hex
         self.longest = max(map(len, self.pieces), default=1)
         self.rows = [tuple(x) for x in self.probabilities.tolist()]
 
@@ -209,6 +211,16 @@ class Scorer:
         return self.model.languages[best], float(min(1.0, 1.0 / share.sum()))
 
 
+_SCORER: list = []
+
+
+def worker_scorer(sent) -> Scorer:
+    """The scorer of this worker process for a broadcast model: a later task finds the words that earlier ones met."""
+    if not _SCORER or _SCORER[0] != sent.value.key:
+        _SCORER[:] = [sent.value.key, Scorer(sent.value)]
+    return _SCORER[1]
+
+
 def label(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with lang_col replaced by the predicted language, and the score as _score; other columns stay as they are."""
     if model is None:
@@ -218,7 +230,7 @@ def label(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col
     place = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = worker_scorer(sent)
         for batch in batches:
             found = [scorer.score(x) for x in batch.column(place).to_pylist()]
             new = {lang_col: pa.array([x[0] for x in found], pa.string()), "_score": pa.array([x[1] for x in found], pa.float64())}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.common import arrow_schema, ddl, text_of
-from strataflow.llm.tokens import Encoder
+from strataflow.llm.tokens import encoder
 
 CAPACITY = 1024
 VOCABULARY = "byte_bpe_50k.json"
@@ -102,12 +102,12 @@ def harmonic_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=PIECES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(vocabulary), HarmonicPacker(capacity, TaskContext.get().partitionId() << 40)
+        encode, packer = encoder(vocabulary), HarmonicPacker(capacity, TaskContext.get().partitionId() << 40)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 256):
                 full = []
-                for doc_id, own in zip(batch.column(0)[at : at + 256].to_pylist(), encoder.ids(texts[at : at + 256])):
+                for doc_id, own in zip(batch.column(0)[at : at + 256].to_pylist(), encode.ids(texts[at : at + 256])):
                     full += packer.add((doc_id, len(own) + 1), np.append(own, np.uint32(end_id)))
                 if full:
                     yield rows(full)

@@ -30,7 +30,7 @@ from strataflow.llm.common import arrow_schema, ddl, materialize, shared_dir, te
 
 SHINGLE, SEED, LIMIT = 3, 42, 2
 #: Distinct fingerprints per range, about.
-PER_RANGE = 50_000
+PER_RANGE = 100_000
 FANOUT = 8
 PRINTS = arrow_schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LINKS = arrow_schema([("u", pa.int64()), ("v", pa.int64())])

@@ -50,7 +50,8 @@ RUNS = arrow_schema([("token", pa.int64()), ("second", pa.int64()), *_PLACE])
 MARKS = arrow_schema([("kind", pa.int32()), ("n", pa.int64()), *[(f.name, f.type) for f in RUNS]])
 REPEATED, CANDIDATE, SAMPLE, PENDING = range(4)
 BYTES = arrow_schema([("token", pa.int64()), ("sample", pa.bool_()), *_PLACE, ("data", pa.binary())])
-SPANS = arrow_schema([("pending", pa.bool_()), ("token", pa.int64()), ("window", pa.int64()), *_PLACE])
+#: n: how often a pending window is in its bucket.
+SPANS = arrow_schema([("pending", pa.bool_()), ("n", pa.int64()), ("token", pa.int64()), ("window", pa.int64()), *_PLACE])
 KEPT = arrow_schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -295,7 +296,7 @@ def _groups(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[st
 
     name = handle = store = key = None
     held: list[dict] = []
-    for r in [*()] or rows():
+    for r in rows():
         if (r["file"], r["group"]) != key:
             if held:
                 yield *key, held, store.read_row_group(key[1])
@@ -358,25 +359,27 @@ def compare_windows(content: DataFrame) -> DataFrame:
         row_group = group[owner]
         order = multikey_sort([row_group, window])
         same = stretches(row_group[order], window[order])
-        repeated = np.zeros(len(owner), bool)
-        repeated[order] = np.bincount(same)[same] > 1
-        repeated |= table["sample"].to_numpy(zero_copy_only=False)[owner]
-        edge = edges[owner]
+        sample = table["sample"].to_numpy()[owner]
+        often = np.zeros(len(owner), np.int64)
+        often[order] = np.bincount(same, 1 + sample[order])[same]  # a sample stands for two runs at least
+        once = np.zeros(len(owner), bool)
+        once[order] = np.append(True, same[1:] != same[:-1])
+        edge = np.flatnonzero(edges[owner] & once)  # each window once, with its count in this bucket
         # repeated windows in a row make one stretch
-        rows = np.flatnonzero(repeated & ~table["sample"].to_numpy(zero_copy_only=False)[owner])
+        rows = np.flatnonzero((often > 1) & ~sample)
         if len(rows):
             fresh = np.append(True, (np.diff(rows) != 1) | (owner[rows][1:] != owner[rows][:-1]))
             first, last = rows[fresh], rows[np.append(np.flatnonzero(fresh)[1:] - 1, len(rows) - 1)]
-            yield _spans(table, owner[first], None, start[first], start[last] + LENGTH)
-        for k in range(0, int(edge.sum()), 50_000):
-            some = np.flatnonzero(edge)[k : k + 50_000]
-            yield _spans(table, owner[some], window[some], start[some], start[some] + LENGTH)
+            yield _spans(table, owner[first], None, often[first], start[first], start[last] + LENGTH)
+        for k in range(0, len(edge), 50_000):
+            some = edge[k : k + 50_000]
+            yield _spans(table, owner[some], window[some], often[some], start[some], start[some] + LENGTH)
 
-    def _spans(table: pa.Table, owner: np.ndarray, window: np.ndarray | None, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    def _spans(table: pa.Table, owner: np.ndarray, window: np.ndarray | None, often: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
         base = table.select(["token", "file", "group", "row"]).take(pa.array(owner)).combine_chunks()
         n = len(owner)
         columns = {c: base[c].combine_chunks() if n else base[c] for c in base.column_names}
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, window is not None)), columns["token"], pa.nulls(n, pa.int64()) if window is None else pa.array(window), columns["file"], columns["group"], columns["row"], pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=SPANS)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, window is not None)), pa.array(often), columns["token"], pa.nulls(n, pa.int64()) if window is None else pa.array(window), columns["file"], columns["group"], columns["row"], pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=SPANS)
 
     spark = content.sparkSession
     n = partitions_for(spark, int(content.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]), BYTES_PER_BUCKET)
@@ -384,11 +387,13 @@ def compare_windows(content: DataFrame) -> DataFrame:
 
 
 def judge_windows(spans: DataFrame) -> DataFrame:
-    """Compares pending windows across boundaries: (file, group, row, start, end) of those that repeat."""
+    """Compares pending windows across boundaries: (file, group, row, start, end) of those that repeat.
+
+    A bucket has told of its own repeats already; what is left are windows that are single in theirs but not in all.
+    """
     pending = spans.filter("pending")
-    place = ["file", "group", "row", "start", "end"]
-    counts = pending.groupBy("token", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return pending.join(counts, ["token", "window"]).select(*place)
+    counts = pending.groupBy("token", "window").agg(F.sum("n").alias("all")).filter("all > 1")
+    return pending.filter("n = 1").join(counts, ["token", "window"]).select("file", "group", "row", "start", "end")
 
 
 # --- step 4: cut

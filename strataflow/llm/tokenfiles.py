@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.llm.common import NewFile, arrow_schema, ddl, files_of, materialize, open_range, read_range, shared_dir, text_of
-from strataflow.llm.tokens import Encoder
+from strataflow.llm.tokens import encoder
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -58,19 +58,19 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     """Writes the parts; one row per part: part, data, index, documents, ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = None, TaskContext.get().partitionId()
+        encode, part = None, TaskContext.get().partitionId()
         for batch in batches:
-            if encoder is None:
-                encoder = Encoder(vocabulary)
-                kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id) <= 1 << 16 else "<u4"
+            if encode is None:
+                encode = encoder(vocabulary)
+                kind = "<u2" if max(encode.tokenizer.get_vocab_size(), end_id) <= 1 << 16 else "<u4"
                 out, lengths, ids = NewFile(folder, f"part-{part:06d}", ".bin"), [], []
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 256):
-                for own in encoder.ids(texts[at : at + 256]):
+                for own in encode.ids(texts[at : at + 256]):
                     out.write(np.append(own, np.uint32(end_id)).astype(kind).tobytes())
                     lengths.append(len(own) + 1)
             ids += batch.column(0).to_pylist()
-        if encoder is not None:
+        if encode is not None:
             index = NewFile(folder, f"part-{part:06d}", ".idx")
             index.write(index_bytes(np.dtype(kind).itemsize, lengths, ids))
             out.commit()

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -99,3 +100,9 @@ class Encoder:
             for x in {x for p in parts for x in p if len(x) > self.longest}:
                 cache.pop(x, None)
         return out
+
+
+@lru_cache(maxsize=1)
+def encoder(name: str) -> Encoder:
+    """The encoder of this worker process: a later task finds the parts that earlier ones met."""
+    return Encoder(name)
