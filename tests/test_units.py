@@ -64,7 +64,7 @@ def test_similarity_fit(spark):
 
 
 def test_pose_inverse(spark):
-    q = [math.cos(0.35), *(math.sin(0.35) * np.array([1, 2, 3]) / math.sqrt(14))]
+    q = [math.cos(0.35), *(math.sin(0.35) * np.array([1, 2, 3]) / math.sqrt(14)).tolist()]
     row = spark.createDataFrame([(q, [4.0, 5.0, 6.0], [7.0, 8.0, 9.0])], "q array<double>, t array<double>, x array<double>")
     p = g.pose(F.col("q"), F.col("t"))
     there = row.select("q", "t", g.pose_apply(p, F.col("x")).alias("y"))
