@@ -50,11 +50,12 @@ class Model:
     def __post_init__(self):
         self.key = uuid.uuid4().hex
         self.longest = max(map(len, self.pieces), default=1)
-        self.rows = [tuple(x) for x in self.probabilities.tolist()]
+        # each beginning of a piece, with the piece's number or -1 if it is only a beginning
+        self.walk = {p[:i]: -1 for p in self.pieces for i in range(1, len(p))} | self.pieces
 
     def lattice(self, word: str) -> list[list[tuple[int, int]]]:
         """For each end in word, the (start, piece) that reach it."""
-        unknown, get = len(self.rows) - 1, self.pieces.get
+        unknown, get = len(self.probabilities) - 1, self.pieces.get
         out = []
         for end in range(1, len(word) + 1):
             arcs = [(a, p) for a in range(max(0, end - self.longest), end) if (p := get(word[a:end])) is not None]
@@ -64,17 +65,40 @@ class Model:
         return out
 
     def log_word(self, word: str) -> list[float]:
-        """Log probability of a word in each language, over all segmentations."""
-        k, rows = range(len(self.languages)), self.rows
-        forward = [[1.0] * len(self.languages)]
-        for arcs in self.lattice(word):
-            sums = [0.0] * len(self.languages)
-            for a, p in arcs:
-                before, row = forward[a], rows[p]
-                for i in k:
-                    sums[i] += before[i] * row[i]
-            forward.append(sums)
-        return [math.log(max(x, 1e-300)) for x in forward[-1]]
+        return self.log_words([word])[0].tolist()
+
+    def log_words(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word in each language, over all segmentations: one forward pass for all words."""
+        unknown, walk = len(self.probabilities) - 1, self.walk
+        width = max(map(len, words), default=0) + 1
+        starts, ends, pieces = [], [], []
+        for w, word in enumerate(words):
+            base, n = w * width, len(word)
+            for a in range(n):
+                b, found = a + 1, walk.get(word[a])
+                if found is None or found < 0:
+                    starts.append(base + a)
+                    ends.append(base + b)
+                    pieces.append(unknown)
+                while found is not None:
+                    if found >= 0:
+                        starts.append(base + a)
+                        ends.append(base + b)
+                        pieces.append(found)
+                    b += 1
+                    found = walk.get(word[a:b]) if b <= n else None
+        start, end, piece = (np.array(x, np.int64) for x in (starts, ends, pieces))
+        forward = np.zeros((len(words) * width, len(self.languages)))
+        forward[::width] = 1.0
+        order = np.lexsort((end, end % width))
+        start, end, piece = start[order], end[order], piece[order]
+        bounds = np.searchsorted(end % width, np.arange(1, width + 1))
+        for a, b in zip(bounds[:-1], bounds[1:]):  # all arcs that end at one place within their words
+            if a < b:
+                first = np.flatnonzero(np.append(True, end[a + 1 : b] != end[a : b - 1]))
+                forward[end[a:b][first]] = np.add.reduceat(forward[start[a:b]] * self.probabilities[piece[a:b]], first, axis=0)
+        last = np.arange(len(words)) * width + np.fromiter(map(len, words), np.int64, len(words))
+        return np.log(np.maximum(forward[last], 1e-300))
 
 
 def words_of(text: str) -> list[str]:
@@ -166,49 +190,67 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 class Scorer:
-    """Scores texts, with the words seen so far and their log probabilities in a bounded cache."""
+    """Scores texts, with the parts and words seen so far and their log probabilities in bounded caches."""
 
-    def __init__(self, model: Model, most: int = 600_000):
+    def __init__(self, model: Model, most: int = 500_000):
         self.model, self.most = model, most
         self._reset()
 
     def _reset(self) -> None:
-        # row 0 is that of parts without a letter
-        self.index: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.parts: dict[str, int] = {}  # row 0 is that of parts without a letter
         self.table = np.zeros((1 << 14, len(self.model.languages) + 1))
         self.used = 1
 
-    def _learn(self, part: str) -> None:
-        words = words_of(part)
-        if not words:
-            self.index[part] = 0
-            return
-        if self.used == len(self.table):
+    def _rows(self, n: int) -> int:
+        """Makes room for n rows more; the first of them."""
+        first, self.used = self.used, self.used + n
+        while self.used > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used, :-1] = np.sum([self.model.log_word(w) for w in words], axis=0)
-        self.table[self.used, -1] = len(words)
-        self.index[part] = self.used
-        self.used += 1
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        if not text:
-            return UND, 0.0
-        parts = text.split()
-        if len(self.index) > self.most:
+        return first
+
+    def _learn(self, parts: set[str]) -> None:
+        if len(self.parts) + len(parts) > self.most:
             self._reset()
-        missing = set(parts).difference(self.index)
-        for x in missing:
-            self._learn(x)
-        sums = self.table[np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))].sum(axis=0)
-        for x in missing:
-            if len(x) > 256:
-                del self.index[x]
-        if not sums[-1]:
-            return UND, 0.0
-        total = sums[:-1] + self.model.prior
-        best = int(np.argmax(total))
-        share = np.exp((total - total[best]) / math.sqrt(sums[-1]))
-        return self.model.languages[best], float(min(1.0, 1.0 / share.sum()))
+        made = {x: words_of(x) for x in parts}
+        new = list({w for ws in made.values() for w in ws}.difference(self.words))
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            first = self._rows(len(some))
+            self.table[first : first + len(some), :-1] = self.model.log_words(some)
+            self.table[first : first + len(some), -1] = 1
+            self.words.update(zip(some, range(first, first + len(some))))
+        for x, ws in made.items():
+            if len(ws) == 1:
+                self.parts[x] = self.words[ws[0]]
+            elif not ws:
+                self.parts[x] = 0
+            else:
+                row = self._rows(1)
+                self.table[row] = self.table[[self.words[w] for w in ws]].sum(axis=0)
+                self.parts[x] = row
+
+    def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        split = [x.split() if x else [] for x in texts]
+        wanted = {x for parts in split for x in parts}
+        missing = wanted.difference(self.parts)
+        if len(self.parts) + len(missing) > self.most:
+            missing = wanted
+        self._learn(missing)
+        out = []
+        for parts in split:
+            sums = self.table[np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))].sum(axis=0)
+            if not sums[-1]:
+                out.append((UND, 0.0))
+                continue
+            total = sums[:-1] + self.model.prior
+            best = int(np.argmax(total))
+            share = np.exp((total - total[best]) / math.sqrt(sums[-1]))
+            out.append((self.model.languages[best], float(min(1.0, 1.0 / share.sum()))))
+        for x in [x for x in missing if len(x) > 256]:
+            del self.parts[x]
+        return out
 
 
 _SCORER: list = []
@@ -232,7 +274,8 @@ def label(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_scorer(sent)
         for batch in batches:
-            found = [scorer.score(x) for x in batch.column(place).to_pylist()]
+            texts = batch.column(place).to_pylist()
+            found = [x for at in range(0, len(texts), 256) for x in scorer.scores(texts[at : at + 256])]
             new = {lang_col: pa.array([x[0] for x in found], pa.string()), "_score": pa.array([x[1] for x in found], pa.float64())}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(docs_at[c]) for c in columns], columns)
 
