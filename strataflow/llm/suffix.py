@@ -42,6 +42,8 @@ STRETCH = 1 << 21
 _PLACE_BITS = 22
 #: Runs, and bytes of candidates, per bucket.
 PER_BUCKET, BYTES_PER_BUCKET = 1_000_000, 32 << 20
+#: A token with more than a bucket's even share of the bytes, divided by this, is split over buckets.
+SPLITS = 2
 STORE = arrow_schema([("doc_id", pa.int64()), ("text", pa.binary())])
 _PLACE = [("file", pa.string()), ("group", pa.int32()), ("row", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
 #: token is null in the one row per row group that stands for the group itself.
@@ -331,15 +333,21 @@ def fetch(candidates: DataFrame, folder: str) -> DataFrame:
 
 
 def compare_windows(content: DataFrame) -> DataFrame:
-    """Rows of SPANS: repeated stretches, and the windows of buckets' first and last tokens (pending)."""
+    """Rows of SPANS: repeated stretches, and the windows of tokens that buckets may share (pending).
+
+    Rows of a token stay together unless the token has a large share of all bytes; only such hot tokens are split over
+    buckets, and only a bucket's first and last token can go on in another one.
+    """
+
+    dealt = BYTES.append(pa.field("hot", pa.bool_()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _columns(batches, BYTES).combine_chunks()
+        table = _columns(batches, dealt).combine_chunks()
         if not table.num_rows:
             return
         table = table.take(pa.array(np.argsort(table["token"].to_numpy(), kind="stable"))).combine_chunks()
         group = stretches(table["token"].to_numpy())
-        edges = _by_boundaries(group)
+        edges = _by_boundaries(group) & table["hot"].to_numpy()  # other tokens are whole in a bucket
         sizes = table["end"].to_numpy().astype(np.int64) - table["start"].to_numpy()
         begin = 0
         while begin < len(sizes):  # whole groups, about 4 MB of bytes at a time
@@ -381,9 +389,14 @@ def compare_windows(content: DataFrame) -> DataFrame:
         columns = {c: base[c].combine_chunks() if n else base[c] for c in base.column_names}
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, window is not None)), pa.array(often), columns["token"], pa.nulls(n, pa.int64()) if window is None else pa.array(window), columns["file"], columns["group"], columns["row"], pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=SPANS)
 
-    spark = content.sparkSession
-    n = partitions_for(spark, int(content.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]), BYTES_PER_BUCKET)
-    return content.repartitionByRange(n, "token", "file", "group", "row", "start").mapInArrow(work, ddl(SPANS))
+    spark, length = content.sparkSession, F.col("end") - F.col("start")
+    total = int(content.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0])
+    n = partitions_for(spark, total, BYTES_PER_BUCKET)
+    # fewer than SPLITS * n tokens can have this share of the bytes, so their list may be broadcast
+    hot = content.groupBy("token").agg(F.sum(length).alias("bytes")).filter(F.col("bytes") * (SPLITS * n) > total).select("token", F.lit(True).alias("hot"))
+    marked = content.join(F.broadcast(hot), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).select(*BYTES.names, "hot")
+    keys = [F.when(F.col("hot"), F.col(c)) for c in ("file", "group", "row", "start")]
+    return marked.repartitionByRange(n, "token", *keys).mapInArrow(work, ddl(SPANS))
 
 
 def judge_windows(spans: DataFrame) -> DataFrame:
