@@ -4,7 +4,8 @@ A byte-pair encoder never merges across its pre-tokens, and in both public vocab
 space that follows a character other than white space.  So a text is cut there, each part is encoded once per worker,
 and a text's ids are its parts' ids in a row.  Texts in which white space follows white space are cut by a regular
 expression, so that runs of white space stay with the part after them.  A part of common characters is cut into
-pre-tokens here and goes straight to the library's merge model; any other part goes through the whole library.
+pre-tokens here; those not in the cache go straight to the library's merge model.  Any other part goes through the
+whole library.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from struct import pack
 
@@ -21,7 +23,6 @@ from strataflow.llm.common import tokenizer_path
 
 #: Parts begin at white space after another character; the characters are white space to every library concerned.
 _CUT = re.compile(r"(?<=\S)(?=[ \n\t])")
-_IRREGULAR = re.compile(r"\s |\s\Z|\A ")
 #: Characters that this module, the regex library and the tokenizers library class alike.
 _COMMON = re.compile(r"[\t\n\r -~¡-įĲ-ſ]*")
 #: The pre-token pattern of the byte-level vocabulary; the other vocabulary's stands in its file.
@@ -35,10 +36,34 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Irregular(ValueError):
+    """White space follows white space here, or ends the text."""
+
+
+class Parts(dict):
+    """Ids by part, found as they are asked for.  Once it is full, what was met since the last turn stays at hand, the
+    rest goes; parts of more than longest characters aren't kept."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int, longest: int):
+        super().__init__()
+        self.encode, self.most, self.longest = encode, most, longest
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        if (known := self.older.pop(part, None)) is None:
+            known = self.encode(part)
+        if len(part) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[part] = known
+        return known
+
+
 class Encoder:
     """ids(texts) gives each text's ids as an array of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, name: str, most: int = 400_000, longest: int = 256):
+    def __init__(self, name: str, most: int = 800_000, longest: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -52,54 +77,52 @@ class Encoder:
         self.lower = pre["type"] == "Sequence"
         self.pattern = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if self.lower else _BYTE_LEVEL)
         self.letters = byte_letters()
-        self.most, self.longest = most, longest
-        self.cache: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.longest = longest
+        #: Parts that follow a space, without it; and parts as they are.
+        self.after = Parts(self._after_space, most, longest)
+        self.first = Parts(self._encode, most, longest)
+
+    def _after_space(self, part: str) -> bytes:
+        if not part or part[-1].isspace():
+            raise Irregular(part)
+        return self._encode(" " + part)
 
     def _encode(self, part: str) -> bytes:
-        merge = self.model.tokenize
         if part.isascii() and (word := part[1:] if part[:1] == " " else part).isalpha():  # one pre-token
             if self.lower:
-                ids = [t.id for t in merge(word.lower())]
-            else:
-                ids = [t.id for t in merge(part if word is part else self.letters[32] + word)]
-        elif _COMMON.fullmatch(part):
-            part = part.lower() if self.lower else part
-            ids = [t.id for x in self.pattern.findall(part) for t in merge(x.encode().decode("latin-1").translate(self.letters))]
-        else:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+                return self._merge(word.lower())
+            return self._merge(part if word is part else self.letters[32] + word)
+        if _COMMON.fullmatch(part):
+            return b"".join(map(self._piece, self.pattern.findall(part.lower() if self.lower else part)))
+        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _merge(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters)]
         return pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, cache: dict[str, bytes], parts: list[str], prefix: str) -> None:
-        """Adds what is missing to cache; a cache that would grow too large starts again."""
-        missing = set(parts).difference(cache)
-        if len(cache) + len(missing) > self.most:
-            cache.clear()
-            missing = set(parts)
-        for x in missing:
-            cache[x] = self._encode(prefix + x)
+    def _piece(self, piece: str) -> bytes:
+        """A pre-token's ids; many parts are a known word and a mark or line break."""
+        cache, key = (self.after, piece[1:]) if piece[0] == " " and not piece[-1].isspace() else (self.first, piece)
+        if (known := cache.get(key)) is None:
+            known = self._merge(piece.encode().decode("latin-1").translate(self.letters))
+            if len(key) <= self.longest:
+                cache[key] = known
+        return known
+
+    def _ids(self, text: str) -> bytes:
+        if self.lower and _COMMON.fullmatch(text):
+            text = text.lower()
+        head, *tail = text.split(" ")
+        try:
+            if tail and (not head or head[-1].isspace()):
+                raise Irregular(text)
+            return self.first[head] + b"".join(map(self.after.__getitem__, tail))
+        except Irregular:
+            return b"".join(map(self.first.__getitem__, _CUT.split(text)))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        heads, tails, odd = [], [], {}
-        for i, text in enumerate(texts):
-            if self.lower and _COMMON.fullmatch(text):
-                text = text.lower()
-            if _IRREGULAR.search(text):
-                odd[i] = _CUT.split(text)
-                heads.append("")
-                tails.append([])
-            else:
-                head, *tail = text.split(" ")
-                heads.append(head)
-                tails.append(tail)
-        self._learn(self.cache, [x for t in tails for x in t], " ")
-        self._learn(self.first, heads + [x for parts in odd.values() for x in parts], "")
-        first, rest = self.first.__getitem__, self.cache.__getitem__
-        out = [np.frombuffer(b"".join(map(first, odd[i])) if i in odd else first(heads[i]) + b"".join(map(rest, tails[i])), "<u4") for i in range(len(texts))]
-        for cache, parts in ((self.cache, tails), (self.first, [heads, *odd.values()])):
-            for x in {x for p in parts for x in p if len(x) > self.longest}:
-                cache.pop(x, None)
-        return out
+        return [np.frombuffer(self._ids(x), "<u4") for x in texts]
 
 
 @lru_cache(maxsize=1)
