@@ -1,12 +1,12 @@
 """Media columns: content-addressed payloads in tar shards, rows with digest, offset and length.
 
 A text's UTF-8 bytes, zero-padded to a positive multiple of 64, are the samples of an 8-bit grey PNG 64 pixels wide.
-Payloads are addressed by their SHA-256: tasks drop repeats among their own rows, then each digest is written once, by
-the task that its digest falls to, into a tar shard.  Rows carry the digest; the shard, offset and length of the stored
-form come from a table with one row per digest.  Metadata columns (width, height, depth) come from range reads of the
+Payloads are addressed by their SHA-256: each task writes the distinct payloads among its rows into tar shards, and of a
+digest that several tasks met one place is chosen for all.  Rows carry the digest; the shard, offset and length of the
+stored form come from a table with one row per digest.  Metadata columns (width, height, depth) come from range reads of the
 image headers alone; features come from reading the stored bytes back.
 
-Defined results: null text is empty (a payload of 64 zero bytes); equal texts share one stored payload; repeated rows and
+Defined results: null text is empty (a payload of 64 zero bytes); equal texts refer to one stored payload; repeated rows and
 null ids are kept; an empty table gives no shards and no rows; columns other than id and text aren't read.
 """
 
@@ -30,7 +30,6 @@ WIDTH = 64
 SHARD_BYTES = 64 << 20
 HEADER_BYTES = 33  # PNG signature and the whole IHDR chunk
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-MEDIA = arrow_schema([("digest", pa.binary()), ("media", pa.binary()), ("n_bytes", pa.int64())])
 PLACES = arrow_schema([("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("n_bytes", pa.int64())])
 HEADERS = arrow_schema([("digest", pa.binary()), ("width", pa.int64()), ("height", pa.int64()), ("depth", pa.int64())])
 FEATURES = arrow_schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
@@ -109,38 +108,26 @@ class ShardWriter:
         self.file.commit()
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, media, n_bytes) of each text, once per task: the digests a task has seen take 32 bytes each."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        rows, size = [], 0
-        for text in batch.column(0).to_pylist():
-            data = text.encode()
-            digest = hashlib.sha256(data).digest()
-            if digest not in seen:
-                seen.add(digest)
-                rows.append((digest, encode_png(pad(data)), len(data)))
-                size += len(rows[-1][1])
-            if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), MEDIA.types)], schema=MEDIA)
-                rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), MEDIA.types)], schema=MEDIA)
-
-
 def write_shards(texts: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Stores each distinct text of column text once; one row per digest: shard, offset, length, n_bytes."""
+    """Stores the distinct texts of column text; one row per digest: shard, offset, length, n_bytes.
+
+    Each task writes the payloads it meets, each once (the digests it has seen take 32 bytes each), so no payload is
+    shuffled.  Of a payload that several tasks met, all rows refer to one stored copy; the others are never read.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seen = None, set()
         for batch in batches:
             rows = []
-            for digest, media, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if digest in seen:  # other tasks' copies of it
+            for text in batch.column(0).to_pylist():
+                data = text.encode()
+                digest = hashlib.sha256(data).digest()
+                if digest in seen:
                     continue
                 seen.add(digest)
+                media = encode_png(pad(data))
                 shard = shard or ShardWriter(f"{folder}/shards")
-                rows.append((digest, shard.file.name, shard.add(digest, media), len(media), n))
+                rows.append((digest, shard.file.name, shard.add(digest, media), len(media), len(data)))
                 if shard.file.offset >= shard_bytes:
                     shard.close()
                     shard = None
@@ -149,9 +136,9 @@ def write_shards(texts: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES)
         if shard:
             shard.close()
 
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    media = texts.mapInArrow(_encode, ddl(MEDIA)).repartition(n, "digest")
-    return materialize(media.mapInArrow(work, ddl(PLACES)), f"{folder}/places")
+    place = F.struct("shard", "offset", "length", "n_bytes")
+    kept = texts.mapInArrow(work, ddl(PLACES)).groupBy("digest").agg(F.min(place).alias("place")).select("digest", "place.*")
+    return materialize(kept, f"{folder}/places")
 
 
 def _by_shard(places: DataFrame, work, schema: pa.Schema) -> DataFrame:
