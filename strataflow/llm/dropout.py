@@ -19,7 +19,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
 from struct import pack
 
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.common import arrow_schema, ddl, text_of, tokenizer_path
+from strataflow.llm.tokens import Parts
 
 VOCABULARY = "piece_bpe_32k.model"
 SEED, RATE = 17, 0.1
@@ -55,7 +56,7 @@ _NEVER = 1 << 60
 class Codec:
     """Encodes with dropout and decodes, over one public vocabulary."""
 
-    def __init__(self, name: str = VOCABULARY, seed: int = SEED, rate: float = RATE, most: int = 300_000, longest: int = 128):
+    def __init__(self, name: str = VOCABULARY, seed: int = SEED, rate: float = RATE, most: int = 400_000, longest: int = 128):
         from sentencepiece import SentencePieceProcessor
         from xxhash import xxh64_intdigest
 
@@ -71,7 +72,7 @@ class Codec:
         self.order = {self.pieces[i]: n for n, i in enumerate(order)}
         self.raw = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() if p in self.ids else b"" for i, p in enumerate(self.pieces)]
         self.most, self.longest = most, longest
-        self.cache: list[dict[str, bytes]] = []
+        self.caches: dict[int | None, Parts] = {}
 
     def _skipped(self, key: int, place: int, rank: int) -> bool:
         """Whether the merge that would make the piece of this rank at this place (characters before it) is dropped."""
@@ -142,21 +143,12 @@ class Codec:
         return self._marked(marked, variant)
 
     def _marked(self, marked: str, variant: int | None) -> np.ndarray:
-        slot = 0 if variant is None else variant + 1
-        while len(self.cache) <= slot:
-            self.cache.append({})
-        cache, segments = self.cache[slot], _SEGMENT.findall(marked)
-        missing = set(segments).difference(cache)
-        if len(cache) + len(missing) > self.most:
-            cache.clear()
-            missing = set(segments)
-        for x in missing:
-            cache[x] = self._ids(x, None if variant is None else self.hash(x.encode(), mix(self.seed + variant)))
-        out = np.frombuffer(b"".join(map(cache.__getitem__, segments)), "<u4")
-        for x in missing:
-            if len(x) > self.longest:
-                del cache[x]
-        return out
+        if variant not in self.caches:
+            self.caches[variant] = Parts(partial(self._keyed, variant), self.most, self.longest)
+        return np.frombuffer(b"".join(map(self.caches[variant].__getitem__, _SEGMENT.findall(marked))), "<u4")
+
+    def _keyed(self, variant: int | None, segment: str) -> bytes:
+        return self._ids(segment, None if variant is None else self.hash(segment.encode(), mix(self.seed + variant)))
 
     def decode(self, ids) -> str:
         """The text whose ids these are: the first piece's word mark stands for no space."""
