@@ -14,6 +14,10 @@ come from alternating large-star and small-star steps on tables in the shared fo
 Defined results: null text is empty; a text without words has fingerprint zero and links like any other; fewer words
 than a shingle form one shingle; repeated rows and null ids are kept, component_id ignores null ids and is null where a
 component has no other; an empty table gives no rows; columns other than id and text aren't read.
+
+The pipeline's stage (keep_one) has a measure of its own: exact Jaccard similarity of the sets of five-word shingles, 0.8
+or more, which is far outside two bits of a fingerprint, and where a search by bits would have to visit every range.
+Bands of hashed minima propose pairs, SimHash within a wide limit and the sets' sizes thin them out, texts decide.
 """
 
 from __future__ import annotations
@@ -29,6 +33,14 @@ from pyspark.sql import functions as F
 from strataflow.llm.common import arrow_schema, ddl, materialize, shared_dir, text_of
 
 SHINGLE, SEED, LIMIT = 3, 42, 2
+#: Near copies by words, for the pipeline: words a shingle; the least Jaccard similarity, as a fraction.
+WORDS, ALIKE = 5, (4, 5)
+#: Bands of hashed minima propose pairs (at similarity 0.8 all bands miss a pair with probability 4e-7), those of SimHash
+#: within WIDE bits are compared (at 0.8 about 10 of 64 bits differ, more than WIDE with probability under 1e-6).
+BANDS, ROWS, WIDE = 28, 4, 28
+#: Of a pair that is in no copy group together, as many of the BANDS * ROWS minima are equal, or its texts aren't compared
+#: (at similarity 0.8 about 90 of 112 are, fewer than EQUAL with probability under 1e-6).
+EQUAL = 66
 #: Distinct fingerprints per range, about.
 PER_RANGE = 100_000
 FANOUT = 8
@@ -259,8 +271,121 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """The rows of docs that stay: one of each component, that with the smallest id (rows with no id at all stay)."""
-    found = near_duplicates(docs, id_col, text_col, limit)
-    stay = found.filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi")
+# --- near copies by words, for the pipeline
+
+
+def shingle_set(text: str, shingle: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of a text's distinct word shingles, in order; words as in fingerprints, no words are one empty shingle."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split()
+    return np.array(sorted({xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))}), np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two shingle sets is ALIKE or more, in whole numbers."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return ALIKE[1] * common >= ALIKE[0] * (len(a) + len(b) - common)
+
+
+def sketch(shingles: np.ndarray) -> tuple[int, list[int], bytes]:
+    """(SimHash, a key per band, a byte of each minimum) of a shingle set.  A band's key hashes ROWS of the set's least values, each under a
+    multiplier of its own; sets of similarity s share a band with probability s ** ROWS."""
+    from xxhash import xxh64_intdigest
+
+    rng = np.random.default_rng(SEED)
+    by, plus = rng.integers(0, 2**63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least, counts = np.full(BANDS * ROWS, 2**64 - 1, np.uint64), np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 2048):
+        h = shingles[at : at + 2048]
+        least = np.minimum(least, (h * by + plus).min(axis=1))
+        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp = np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")[0]
+    bands = least.reshape(BANDS, ROWS).astype("<u8")
+    return int(fp), [xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(bands)], least.astype(np.uint8).tobytes()
+
+
+def sketches(rows: DataFrame, text_col: str) -> DataFrame:
+    """row, fp, size (of its shingle set), bands and minima of each row."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
+            made = [sketch(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in made], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([x[1] for x in made], pa.list_(pa.int64())), pa.array([x[2] for x in made], pa.binary())], ["row", "fp", "size", "bands", "minima"])
+
+    return rows.select(F.col("_row").alias("row"), text_of(text_col).alias("text")).mapInArrow(work, "row long, fp long, size long, bands array<long>, minima binary")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """Those (u, v) of pairs whose rows' texts are alike."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def of(row: int, text: str) -> np.ndarray:
+            if row not in known:
+                if len(known) >= 64:
+                    known.pop(next(iter(known)))
+                known[row] = shingle_set(text)
+            return known[row]
+
+        for batch in batches:
+            u, v, a, b = (c.to_pylist() for c in batch.columns)
+            same = pa.array([alike(of(i, x), of(j, y)) for i, j, x, y in zip(u, v, a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=LINKS).filter(same)
+
+    texts = rows.select("_row", text_of(text_col).alias("text"))
+    both = pairs.join(texts.select(F.col("_row").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("_row").alias("v"), F.col("text").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(work, ddl(LINKS))
+
+
+def other_pairs(members: DataFrame, folder: str) -> DataFrame:
+    """Pairs (u, v) of one band's members (key, row, fp, size, root, minima) of different roots that may be alike."""
+    def work(table: pa.Table) -> pa.Table:
+        row, fp, size, root = (table[c].to_numpy() for c in ("row", "fp", "size", "root"))
+        minima = np.frombuffer(b"".join(table["minima"].to_pylist()), np.uint8).reshape(len(row), -1)
+        u, v = [], []
+        for i in range(len(row) - 1):
+            j = np.arange(i + 1, len(row))
+            far = ALIKE[1] * np.minimum(size[i], size[j]) < ALIKE[0] * np.maximum(size[i], size[j])
+            j = j[(root[j] != root[i]) & ~far & (np.bitwise_count((fp[j] ^ fp[i]).view(np.uint64)) <= WIDE)]
+            j = j[(minima[j] == minima[i]).sum(axis=1) >= EQUAL]
+            u.append(np.maximum(row[i], row[j]))
+            v.append(np.minimum(row[i], row[j]))
+        return pa.table([pa.array(np.concatenate(x or [np.zeros(0, np.int64)])) for x in (u, v)], schema=LINKS)
+
+    return materialize(members.groupBy("key").applyInArrow(work, ddl(LINKS)).distinct(), f"{folder}/others")
+
+
+def near_copies(rows: DataFrame, text_col: str, folder: str) -> DataFrame:
+    """(u, v): each row (by _row) that isn't the least of its component of alike rows, with that least one.
+
+    Each band's members are compared with its least row first, so a large group of copies costs a comparison a member and
+    not one a pair.  What then lies in different components of one band is compared pair by pair.
+    """
+    drawn = materialize(sketches(rows, text_col), f"{folder}/sketches")
+    members = drawn.select("row", "fp", "size", F.explode("bands").alias("key"))
+    least = members.groupBy("key").agg(F.min(F.struct("row", "fp", "size")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialize(members.join(least, "key").filter("row != least.row"), f"{folder}/met")
+    near = met.filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= WIDE) & (ALIKE[1] * F.least("size", "least.size") >= ALIKE[0] * F.greatest("size", "least.size")))
+    found = materialize(verified(near.select(F.col("row").alias("u"), F.col("least.row").alias("v")).distinct(), rows, text_col), f"{folder}/found")
+    stars = components(found, f"{folder}/first")
+    left = met.filter("n > 2").join(stars.select(F.col("u").alias("row"), F.col("v").alias("root")), "row", "left").select("key", "row", "fp", "size", F.coalesce("root", "row").alias("root"))
+    left = materialize(left, f"{folder}/left")
+    mixed = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    more = materialize(verified(other_pairs(left.join(mixed, "key").join(drawn.select("row", "minima"), "row"), folder), rows, text_col), f"{folder}/more")
+    return components(stars.unionByName(more), f"{folder}/second") if more.head(1) else stars
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: exactly one of each component of alike rows, that with the smallest id, null ids last.
+
+    Rows are told apart by a key of their own, so repeated and null ids don't matter.
+    """
+    folder = shared_dir(docs.sparkSession, "near-copies")
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), f"{folder}/rows")
+    stars = near_copies(rows, text_col, folder)
+    nodes = stars.select(F.col("u").alias("_row"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("_row"), F.col("v").alias("root")).distinct())
+    ids = nodes.join(rows.select("_row", F.col(id_col).alias("id")), "_row")
+    first = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row"))["_row"].alias("first"))
+    drop = ids.join(first, "root").filter("_row != first").select("_row")
+    return rows.join(drop, "_row", "left_anti").select(*docs.columns)

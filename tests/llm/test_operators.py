@@ -153,6 +153,32 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).collect() == []
 
 
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = ["w%d" % i for i in range(3000)]
+    made = []
+    for n in [3, 5, 9, 12, 30, 60, 150, 400] * 6:
+        base = rng.choices(words, k=n)
+        made.append(" ".join(base))
+        for edits in (1, 1, 2, 4):  # from copies just above to just below the limit
+            copy = list(base)
+            for _ in range(max(1, n * edits // 100) if n > 60 else edits):
+                copy[rng.randrange(n)] = rng.choice(words)
+            made.append(" ".join(copy + rng.choices(words, k=rng.choice((0, 0, n // 12)))))
+    line = rng.choices(words, k=40)  # a passage that many share and that few of them differ in by little
+    made += [" ".join(line + rng.choices(words, k=rng.randint(4, 20))) for _ in range(60)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, made)]
+    forest, near = simhash.Forest(len(made)), 0
+    for a in range(len(made)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                forest.join(np.array([a]), np.array([b]))
+                near += 1
+    assert near > 50
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == sorted(set(forest.roots().tolist()))
+
+
 def test_gray_index_over_ranges(spark, monkeypatch):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
