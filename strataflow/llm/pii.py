@@ -7,8 +7,9 @@ them give the spans' places, in code points, without a loop over the text.
 Kinds, in order: email, ip, card, phone (the base kinds, kept whatever their score) and iban (kept if its checksum holds
 and its score reaches the threshold).
 
-The patterns are the plain ones with possessive quantifiers and a look-behind: the same matches, but in time linear in
-the text and without recursion, so one very long word or number costs no more than its length.
+The base kinds' patterns are the plain ones with possessive quantifiers and a look-behind: the same matches, but in time
+linear in the text and without recursion, so one very long word or number costs no more than its length.  An IBAN has
+exactly its country's length, so what follows it, words in capitals and numbers too, isn't taken for a part of it.
 
 Defined results: null text is empty and has no spans; repeated rows give equal rows; an empty table gives none; null
 ids are kept; columns other than the id and text are not read, their names don't matter.
@@ -28,6 +29,15 @@ WINDOW = 40
 #: A span of a kind outside the base kinds needs this score.
 THRESHOLD = 0.5
 _OCTET = r"0*[0-9]{1,2}|0*1[0-9]{2}|0*2[0-4][0-9]|0*25[0-5]"
+#: Characters of an IBAN by country, those of countries outside the registry that use one too.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG NE SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
 
 
 def _digits(match: Column) -> Column:
@@ -69,7 +79,7 @@ KINDS = (
     Kind("ip", ".", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "ip|host|server|address|adresse"),
     Kind("card", "", r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+", 0.7, "card|visa|credit|carte|karte|tarjeta"),
     Kind("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile|fax|telefon"),
-    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.7, "iban|account|bank|konto|compte|cuenta"),
+    Kind("iban", "", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])", 0.7, "iban|account|bank|konto|compte|cuenta"),
 )
 BASE = ("email", "ip", "card", "phone")
 

@@ -241,6 +241,19 @@ def test_pii(docs, empty):
     assert text == "card <CARD> tel <PHONE> iban <IBAN> x"
 
 
+def test_iban_ends_at_its_length(spark):
+    plain = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    after = ["", " Please pay", " Bitte", " 2024", " EUR 50", "\nNEXT 12", " A", ", OK", " DE", "."]
+    rows = [(f"IBAN {x}{y}", f"IBAN <IBAN>{y}", f"iban:5:{5 + len(x)}") for x in plain for y in after]
+    rows += [(f"{plain[0]} {plain[1]} {plain[2]}", "<IBAN> <IBAN> <IBAN>", "iban:0:22,iban:23:50,iban:51:78")]
+    rows += [(x, x, "") for x in ("DE89370400440532013001 Please", "DE893704004405320130007", "XDE89370400440532013000", "DE8937040044053201300 Please")]
+    frame = spark.createDataFrame(list(enumerate(x for x, _, _ in rows)), "doc_id long, text string")
+    spans = {r.doc_id: ",".join(x for x in r.spans.split(",") if x[:4] == "iban") for r in pii.find_pii(frame).collect()}
+    assert [spans[i] for i in range(len(rows))] == [x for _, _, x in rows]
+    ibans = {r.doc_id: r.text for r in pii.redact(frame).collect() if "card" not in r.text.lower()}
+    assert len(ibans) > 40 and all(ibans[i] == rows[i][1] for i in ibans)
+
+
 def test_dropout(docs, empty):
     plain, dropped = dropout.Codec(), dropout.Codec()
     varied = 0
