@@ -1,16 +1,18 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Byte-pair merges run from an agenda, best piece first, leftmost first among equals.  A candidate merge that comes up is
-skipped if a hash keyed by seed, variant, segment, place and piece falls below the dropout rate; a skipped candidate is
-gone for good, so other merges take its place.  Without dropout the ids are those of the sentencepiece library.
+skipped if a hash keyed by seed, document id, place in the text and piece falls below the dropout rate, so each candidate
+of each occurrence of a word is decided on its own; a skipped candidate is gone for good, so other merges take its place.  Without dropout the ids are those of the sentencepiece library.
 Whatever is skipped, the pieces spell the text: characters without a piece become byte pieces, and so does a literal word
 mark, so decoding gives back every text exactly.
 
 No piece of the vocabulary has a word mark after another character (checked when it is loaded), so segments that begin
-at word marks are independent; each worker keeps the ids of those it has met.
+at word marks are independent.  What a worker keeps is free of any draw: for a segment and the candidates skipped in it so
+far, the candidates that come up next and the ids if none of them is skipped.  An occurrence draws anew for each of these;
+the first one skipped leads to the next such state.
 
 Defined results: null text is empty; empty text has no ids and decodes to itself; repeated rows with one id give equal
-ids; a null id has a variant of its own; an empty table gives no rows; columns other than id and text aren't read.
+ids; a null id has draws of its own; an empty table gives no rows; columns other than id and text aren't read.
 """
 
 from __future__ import annotations
@@ -33,8 +35,6 @@ from strataflow.llm.tokens import Parts
 
 VOCABULARY = "piece_bpe_32k.model"
 SEED, RATE = 17, 0.1
-#: A document's variant is a hash of its id modulo this; segments vary between variants and between their own places.
-VARIANTS = 2
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _M64 = (1 << 64) - 1
@@ -51,12 +51,93 @@ def mix(x: int) -> int:
 #: Segments of more characters keep their agenda in a heap; shorter ones in a plain list, which is faster there.
 SHORT = 48
 _NEVER = 1 << 60
+_PLACE, _RANK = 0xD1B54A32D192ED03, 0x9E3779B97F4A7C15
+
+
+class Trace:
+    """Stands for a key: skips the given candidates (place << 20 | rank) alone and notes those that come up after the last."""
+
+    def __init__(self, skipped: tuple[int, ...]):
+        self.skipped, self.last, self.asked = skipped, skipped[-1] if skipped else None, []
+
+    def __call__(self, place: int, rank: int) -> bool:
+        candidate = place << 20 | rank
+        if candidate in self.skipped:
+            if candidate == self.last:
+                self.last = None
+            return True
+        if self.last is None:
+            self.asked.append(candidate)
+        return False
+
+
+class States:
+    """Numbered states of segments: the candidates to draw for, and the ids if none is skipped.
+
+    A segment gets states when it is met again; most are met once, and drawn for as they are merged (state -1).
+    """
+
+    def __init__(self, codec: Codec):
+        self.codec, self.first, self.after = codec, {}, {}
+        self.ids: list[bytes] = []
+        self.made: list[tuple[str, tuple[int, ...]]] = []
+        self.asked, self.start, self.count, self.used = np.zeros(1 << 16, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, segment: str, skipped: tuple[int, ...]) -> int:
+        trace, n = Trace(skipped), len(self.ids)
+        self.ids.append(self.codec._ids(segment, trace))
+        self.made.append((segment, skipped))
+        if n == len(self.start):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        end = self.used + len(trace.asked)
+        while end > len(self.asked):
+            self.asked = np.concatenate([self.asked, np.zeros_like(self.asked)])
+        self.asked[self.used : end] = trace.asked
+        self.start[n], self.count[n], self.used = self.used, len(trace.asked), end
+        return n
+
+    def of(self, segment: str) -> int:
+        n = self.first.get(segment)
+        if n is None:
+            n = self.first[segment] = -1
+        elif n < 0:
+            n = self.first[segment] = self.add(segment, ())
+        return n
+
+    def skip(self, state: int, at: int) -> int:
+        """The state after the candidate numbered at is skipped."""
+        if (n := self.after.get(state << 12 | at)) is None:
+            segment, skipped = self.made[state]
+            n = self.after[state << 12 | at] = self.add(segment, (*skipped, int(self.asked[self.start[state] + at])))
+        return n
+
+    def draw(self, state: np.ndarray, key: np.ndarray, below: int) -> list[int]:
+        """The last state of each occurrence, given its first one and its key."""
+        state, live = state.copy(), np.flatnonzero(state >= 0)
+        while len(live):
+            count = self.count[state[live]]
+            ends = np.cumsum(count)
+            nth = np.arange(ends[-1]) - np.repeat(ends - count, count)
+            asked = self.asked[np.repeat(self.start[state[live]], count) + nth]
+            x = (asked >> np.uint64(20)) * np.uint64(_PLACE) + (asked & np.uint64((1 << 20) - 1)) * np.uint64(_RANK) + np.repeat(key[live], count)
+            hits = np.flatnonzero(mix_all(x) < np.uint64(below))
+            who, first = np.unique(np.searchsorted(ends, hits, side="right"), return_index=True)
+            live, at = live[who], nth[hits[first]]
+            state[live] = [self.skip(n, k) for n, k in zip(state[live].tolist(), at.tolist())]
+        return state.tolist()
+
+
+def mix_all(x: np.ndarray) -> np.ndarray:
+    """mix of each."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 class Codec:
     """Encodes with dropout and decodes, over one public vocabulary."""
 
-    def __init__(self, name: str = VOCABULARY, seed: int = SEED, rate: float = RATE, most: int = 400_000, longest: int = 128):
+    def __init__(self, name: str = VOCABULARY, seed: int = SEED, rate: float = RATE, most: int = 700_000, longest: int = 64):
         from sentencepiece import SentencePieceProcessor
         from xxhash import xxh64_intdigest
 
@@ -72,18 +153,18 @@ class Codec:
         self.order = {self.pieces[i]: n for n, i in enumerate(order)}
         self.raw = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() if p in self.ids else b"" for i, p in enumerate(self.pieces)]
         self.most, self.longest = most, longest
-        self.caches: dict[int | None, Parts] = {}
+        self.states = States(self)
+        self.plain = Parts(partial(self._ids, key=None), most, longest)
 
-    def _skipped(self, key: int, place: int, rank: int) -> bool:
+    def _skipped(self, key: int | Trace, place: int, rank: int) -> bool:
         """Whether the merge that would make the piece of this rank at this place (characters before it) is dropped."""
-        x = (key ^ rank * 0x9E3779B97F4A7C15) + place * 0xD1B54A32D192ED03 & _M64
-        return ((x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _M64) < self.below
+        return key(place, rank) if isinstance(key, Trace) else mix(key + place * _PLACE + rank * _RANK & _M64) < self.below
 
-    def segment(self, text: str, key: int | None) -> list[str]:
+    def segment(self, text: str, key: int | Trace | None) -> list[str]:
         """The pieces (and single characters without one) that spell text; key: None for no dropout."""
         return self._short(text, key) if len(text) <= SHORT else self._long(text, key)
 
-    def _short(self, text: str, key: int | None) -> list[str]:
+    def _short(self, text: str, key: int | Trace | None) -> list[str]:
         symbols, places, get = list(text), list(range(len(text))), self.order.get
         agenda = [get(text[i : i + 2], _NEVER) for i in range(len(text) - 1)]
         while agenda and (rank := min(agenda)) != _NEVER:
@@ -100,7 +181,7 @@ class Codec:
                 agenda[i - 1] = get(symbols[i - 1] + piece, _NEVER)
         return symbols
 
-    def _long(self, text: str, key: int | None) -> list[str]:
+    def _long(self, text: str, key: int | Trace | None) -> list[str]:
         symbols: list[str | None] = list(text)
         n, order = len(symbols), self.order
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -123,7 +204,7 @@ class Codec:
                 heappush(agenda, (r, h, x))
         return [x for x in symbols if x is not None]
 
-    def _ids(self, segment: str, key: int | None) -> bytes:
+    def _ids(self, segment: str, key: int | Trace | None) -> bytes:
         out: list[int] = []
         for x in self.segment(segment, key):
             if (i := self.ids.get(x)) is not None:
@@ -132,23 +213,32 @@ class Codec:
                 out += [self.bytes[b] for b in x.encode()]
         return pack(f"<{len(out)}I", *out)
 
-    def encode(self, text: str, variant: int | None = 0) -> np.ndarray:
-        """Ids of text as little-endian unsigned 32-bit integers; variant None: no dropout."""
+    def encode(self, text: str, draws: int | None = 0) -> np.ndarray:
+        """Ids of text as little-endian unsigned 32-bit integers; draws: a number per document; None: no dropout."""
         if not text:
             return np.zeros(0, "<u4")
-        literal = MARK in text
-        marked = MARK + text.replace(MARK, "\0\1mark\1\0").replace(" ", MARK) if literal else MARK + text.replace(" ", MARK)
-        if literal:
-            return np.concatenate([x for at, part in enumerate(marked.split("\0\1mark\1\0")) for x in ([np.array([self.bytes[b] for b in MARK.encode()], "<u4")] if at else []) + ([self._marked(part, variant)] if part else [])])
-        return self._marked(marked, variant)
-
-    def _marked(self, marked: str, variant: int | None) -> np.ndarray:
-        if variant not in self.caches:
-            self.caches[variant] = Parts(partial(self._keyed, variant), self.most, self.longest)
-        return np.frombuffer(b"".join(map(self.caches[variant].__getitem__, _SEGMENT.findall(marked))), "<u4")
+        marked = MARK + text.replace(" ", MARK)
+        if MARK not in text:
+            return np.frombuffer(self._marked(marked, draws, 0), "<u4")
+        out, at, mark = [], 0, pack("<3I", *[self.bytes[b] for b in MARK.encode()])
+        for n, part in enumerate((MARK + text.replace(MARK, "\0\1mark\1\0").replace(" ", MARK)).split("\0\1mark\1\0")):
+            out += [mark] * (n > 0) + [self._marked(part, draws, at)]
+            at += len(part) + 1
+        return np.frombuffer(b"".join(out), "<u4")
 
-    def _keyed(self, variant: int | None, segment: str) -> bytes:
-        return self._ids(segment, None if variant is None else self.hash(segment.encode(), mix(self.seed + variant)))
+    def _marked(self, marked: str, draws: int | None, at: int) -> bytes:
+        """Ids of a stretch that begins at this place of the text."""
+        segments = _SEGMENT.findall(marked)
+        if draws is None:
+            return b"".join(map(self.plain.__getitem__, segments))
+        if len(self.states.ids) >= self.most or len(self.states.first) >= 2 * self.most:
+            self.states = States(self)
+        states, key = self.states, mix(self.seed + mix(draws & _M64) & _M64)
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        keys = np.uint64(key) + (np.cumsum(sizes) - sizes + at).astype(np.uint64) * np.uint64(_PLACE)
+        first = np.array([states.of(x) if len(x) <= self.longest else -1 for x in segments], np.int64)
+        drawn = states.draw(first, keys, self.below)
+        return b"".join(states.ids[n] if n >= 0 else self._ids(x, y) for n, x, y in zip(drawn, segments, keys.tolist()))
 
     def decode(self, ids) -> str:
         """The text whose ids these are: the first piece's word mark stands for no space."""
@@ -161,7 +251,7 @@ def worker_codec(vocabulary: str, seed: int, rate: float) -> Codec:
     return Codec(vocabulary, seed, rate)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, lossless, ids of each row; decoding is done on every row."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(vocabulary, seed, rate)
@@ -171,7 +261,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             while at < len(texts):
                 rows, size = [], 0
                 while at < len(texts) and size < 1 << 20:
-                    ids = codec.encode(texts[at], codec.hash(b"%d" % doc_ids[at] if doc_ids[at] is not None else b"", seed) % variants)
+                    ids = codec.encode(texts[at], codec.hash(b"%d" % doc_ids[at] if doc_ids[at] is not None else b"", seed))
                     back = codec.decode(ids.tolist())
                     rows.append((doc_ids[at], len(ids), zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == texts[at], ids.astype(np.int32)))
                     size += len(ids)

@@ -272,6 +272,24 @@ def test_dropout(docs, empty):
     assert dropout.encode_documents(empty).collect() == []
 
 
+def test_dropout_draws_for_each_candidate(docs):
+    codec = dropout.Codec()
+    for i, t in enumerate(x for _, x in pairs(docs) if dropout.MARK not in x and x):
+        want, at, key = b"", 0, dropout.mix(codec.seed + dropout.mix(i) & dropout._M64)
+        for x in dropout._SEGMENT.findall(dropout.MARK + t.replace(" ", dropout.MARK)):
+            want += codec._ids(x, key + at * dropout._PLACE & dropout._M64)
+            at += len(x)
+        assert codec.encode(t, i).tobytes() == want
+    forms = {codec.encode(" ".join(["international"] * 300), i).tobytes() for i in range(20)}
+    assert len(forms) == 20  # documents differ, and so do the places of one
+    ids = [codec.pieces[i] for i in codec.encode(" ".join(["international"] * 300), 1)]
+    assert len({x.replace("\0", "") for x in "\0".join(ids).split(dropout.MARK)}) == 2 and len(set("\0".join(ids).split(dropout.MARK))) > 20
+    few = [dropout.Codec(rate=x) for x in (0.1, 0.0)]
+    assert few[1].encode("international news", 3).tolist() == few[1].library.encode("international news")
+    skips = [few[0]._skipped(k, p, 77) for k in range(200) for p in range(100)]
+    assert 0.09 < sum(skips) / len(skips) < 0.11
+
+
 def test_language_marginal_is_the_sum_over_segmentations():
     pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba"]
     p = np.array([0.1, 0.2, 0.1, 0.2, 0.1, 0.1, 0.15, 0.05])[:, None]
