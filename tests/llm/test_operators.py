@@ -179,6 +179,15 @@ def test_near_copies_equal_brute_force(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == sorted(set(forest.roots().tolist()))
 
 
+def test_one_row_stays_where_ids_are_null_or_repeat(spark):
+    base = [[f"{c}{i}" for i in range(100)] for c in "abc"]
+    near = [" ".join(x + [c]) for x in base for c in ("x", "y")]
+    ids = [None, None, 1, None, 7, 1]  # by component: null ids alone, one of two ids null, an id that another component has
+    frame = spark.createDataFrame(list(zip(ids, near)), "doc_id long, text string")
+    left = [(r.doc_id, r.text[:1]) for r in simhash.keep_one(frame).collect()]
+    assert sorted(left, key=lambda x: x[1]) == [(None, "a"), (1, "b"), (1, "c")]
+
+
 def test_gray_index_over_ranges(spark, monkeypatch):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
