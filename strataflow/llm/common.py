@@ -129,3 +129,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
         end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
         yield at, end
         at = end
+
+
+_STATE: list = []
+
+
+def worker_state(key, make):
+    """What make() gave for this key in this worker process.  A worker keeps one operator's state: the one before is
+    dropped when another key is asked for, so what stages of a pipeline keep doesn't add up."""
+    if not _STATE or _STATE[0] != key:
+        _STATE.clear()
+        _STATE.extend((key, make()))
+    return _STATE[1]

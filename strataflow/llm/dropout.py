@@ -7,9 +7,8 @@ Whatever is skipped, the pieces spell the text: characters without a piece becom
 mark, so decoding gives back every text exactly.
 
 No piece of the vocabulary has a word mark after another character (checked when it is loaded), so segments that begin
-at word marks are independent.  What a worker keeps is free of any draw: for a segment and the candidates skipped in it so
-far, the candidates that come up next and the ids if none of them is skipped.  An occurrence draws anew for each of these;
-the first one skipped leads to the next such state.
+at word marks are independent.  The segments of many texts run their agendas in step: a round takes each segment's best
+candidate, draws for it, and merges or drops it.  Nothing is kept from one batch to the next.
 
 Defined results: null text is empty; empty text has no ids and decodes to itself; repeated rows with one id give equal
 ids; a null id has draws of its own; an empty table gives no rows; columns other than id and text aren't read.
@@ -21,24 +20,28 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import arrow_schema, ddl, text_of, tokenizer_path
-from strataflow.llm.tokens import Parts
+from strataflow.llm.common import arrow_schema, ddl, slices, text_of, tokenizer_path, worker_state
 
 VOCABULARY = "piece_bpe_32k.model"
 SEED, RATE = 17, 0.1
 MARK = "▁"
-_SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _M64 = (1 << 64) - 1
 OUT = arrow_schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_()), ("ids", pa.list_(pa.int32()))])
+#: Segments of more characters keep their agenda in a heap, one by one; shorter ones run in step.
+SHORT = 64
+#: Segments that run in step at a time.
+STEP = 8192
+_NEVER = 1 << 30
+_PLACE, _RANK = 0xD1B54A32D192ED03, 0x9E3779B97F4A7C15
+#: Stands for a literal word mark among code points.
+_LITERAL = 0x110000
 
 
 def mix(x: int) -> int:
@@ -48,85 +51,6 @@ def mix(x: int) -> int:
     return x ^ x >> 31
 
 
-#: Segments of more characters keep their agenda in a heap; shorter ones in a plain list, which is faster there.
-SHORT = 48
-_NEVER = 1 << 60
-_PLACE, _RANK = 0xD1B54A32D192ED03, 0x9E3779B97F4A7C15
-
-
-class Trace:
-    """Stands for a key: skips the given candidates (place << 20 | rank) alone and notes those that come up after the last."""
-
-    def __init__(self, skipped: tuple[int, ...]):
-        self.skipped, self.last, self.asked = skipped, skipped[-1] if skipped else None, []
-
-    def __call__(self, place: int, rank: int) -> bool:
-        candidate = place << 20 | rank
-        if candidate in self.skipped:
-            if candidate == self.last:
-                self.last = None
-            return True
-        if self.last is None:
-            self.asked.append(candidate)
-        return False
-
-
-class States:
-    """Numbered states of segments: the candidates to draw for, and the ids if none is skipped.
-
-    A segment gets states when it is met again; most are met once, and drawn for as they are merged (state -1).
-    """
-
-    def __init__(self, codec: Codec):
-        self.codec, self.first, self.after = codec, {}, {}
-        self.ids: list[bytes] = []
-        self.made: list[tuple[str, tuple[int, ...]]] = []
-        self.asked, self.start, self.count, self.used = np.zeros(1 << 16, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-
-    def add(self, segment: str, skipped: tuple[int, ...]) -> int:
-        trace, n = Trace(skipped), len(self.ids)
-        self.ids.append(self.codec._ids(segment, trace))
-        self.made.append((segment, skipped))
-        if n == len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        end = self.used + len(trace.asked)
-        while end > len(self.asked):
-            self.asked = np.concatenate([self.asked, np.zeros_like(self.asked)])
-        self.asked[self.used : end] = trace.asked
-        self.start[n], self.count[n], self.used = self.used, len(trace.asked), end
-        return n
-
-    def of(self, segment: str) -> int:
-        n = self.first.get(segment)
-        if n is None:
-            n = self.first[segment] = -1
-        elif n < 0:
-            n = self.first[segment] = self.add(segment, ())
-        return n
-
-    def skip(self, state: int, at: int) -> int:
-        """The state after the candidate numbered at is skipped."""
-        if (n := self.after.get(state << 12 | at)) is None:
-            segment, skipped = self.made[state]
-            n = self.after[state << 12 | at] = self.add(segment, (*skipped, int(self.asked[self.start[state] + at])))
-        return n
-
-    def draw(self, state: np.ndarray, key: np.ndarray, below: int) -> list[int]:
-        """The last state of each occurrence, given its first one and its key."""
-        state, live = state.copy(), np.flatnonzero(state >= 0)
-        while len(live):
-            count = self.count[state[live]]
-            ends = np.cumsum(count)
-            nth = np.arange(ends[-1]) - np.repeat(ends - count, count)
-            asked = self.asked[np.repeat(self.start[state[live]], count) + nth]
-            x = (asked >> np.uint64(20)) * np.uint64(_PLACE) + (asked & np.uint64((1 << 20) - 1)) * np.uint64(_RANK) + np.repeat(key[live], count)
-            hits = np.flatnonzero(mix_all(x) < np.uint64(below))
-            who, first = np.unique(np.searchsorted(ends, hits, side="right"), return_index=True)
-            live, at = live[who], nth[hits[first]]
-            state[live] = [self.skip(n, k) for n, k in zip(state[live].tolist(), at.tolist())]
-        return state.tolist()
-
-
 def mix_all(x: np.ndarray) -> np.ndarray:
     """mix of each."""
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -134,10 +58,46 @@ def mix_all(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+class PairTable:
+    """Rank of the merge of two symbols, by open addressing; _NEVER for those without one."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int], symbols: int):
+        self.symbols = symbols
+        self.bits = max(4, (3 * len(pairs)).bit_length())
+        self.code = np.full(1 << self.bits, -1, np.int64)
+        self.rank = np.full(1 << self.bits, _NEVER, np.int32)
+        left = np.array([a * symbols + b for a, b in pairs], np.int64)
+        ranks, slot = np.array(list(pairs.values()), np.int32), self._slot(left)
+        while len(left):
+            free = np.flatnonzero(self.code[slot] < 0)
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            self.code[slot[first]], self.rank[slot[first]] = left[first], ranks[first]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, ranks, slot = left[rest], ranks[rest], (slot[rest] + 1) & (len(self.code) - 1)
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return (code.astype(np.uint64) * np.uint64(_RANK) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        code = a * np.int64(self.symbols) + b
+        slot = self._slot(code)
+        found = self.code[slot]
+        out = np.where(found == code, self.rank[slot], np.int32(_NEVER))
+        open_ = np.flatnonzero((found != code) & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.code) - 1)
+            found = self.code[slot[open_]]
+            hit = found == code[open_]
+            out[open_[hit]] = self.rank[slot[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+
 class Codec:
     """Encodes with dropout and decodes, over one public vocabulary."""
 
-    def __init__(self, name: str = VOCABULARY, seed: int = SEED, rate: float = RATE, most: int = 700_000, longest: int = 64):
+    def __init__(self, name: str = VOCABULARY, seed: int = SEED, rate: float = RATE):
         from sentencepiece import SentencePieceProcessor
         from xxhash import xxh64_intdigest
 
@@ -152,36 +112,27 @@ class Codec:
         order = sorted(whole, key=lambda i: (-sp.get_score(i), i))
         self.order = {self.pieces[i]: n for n, i in enumerate(order)}
         self.raw = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() if p in self.ids else b"" for i, p in enumerate(self.pieces)]
-        self.most, self.longest = most, longest
-        self.states = States(self)
-        self.plain = Parts(partial(self._ids, key=None), most, longest)
-
-    def _skipped(self, key: int | Trace, place: int, rank: int) -> bool:
+        # symbols: the pieces, characters that are none but part of one, and last any other character
+        lone = sorted({c for x in self.ids for c in x} - self.ids.keys())
+        self.symbol = {x: n for n, x in enumerate([*self.ids, *lone])}
+        self.other = len(self.symbol)
+        self.id_of = np.array([*self.ids.values(), *[-1] * (len(lone) + 1)], np.int64)
+        self.merged = np.array([self.symbol[self.pieces[i]] for i in order], np.int64)  # symbol by rank
+        self.of_char = np.full(_LITERAL + 1, self.other, np.int32)
+        for x, n in self.symbol.items():
+            if len(x) == 1:
+                self.of_char[ord(x)] = n
+        get = self.symbol.get
+        pairs = {(a, b): self.order[x] for x in self.ids for k in range(1, len(x)) if (a := get(x[:k])) is not None and (b := get(x[k:])) is not None}
+        self.rank = PairTable(pairs, self.other + 1)
+        self.spelt: dict[int, list[int]] = {}
+
+    def _skipped(self, key: int, place: int, rank: int) -> bool:
         """Whether the merge that would make the piece of this rank at this place (characters before it) is dropped."""
-        return key(place, rank) if isinstance(key, Trace) else mix(key + place * _PLACE + rank * _RANK & _M64) < self.below
-
-    def segment(self, text: str, key: int | Trace | None) -> list[str]:
-        """The pieces (and single characters without one) that spell text; key: None for no dropout."""
-        return self._short(text, key) if len(text) <= SHORT else self._long(text, key)
-
-    def _short(self, text: str, key: int | Trace | None) -> list[str]:
-        symbols, places, get = list(text), list(range(len(text))), self.order.get
-        agenda = [get(text[i : i + 2], _NEVER) for i in range(len(text) - 1)]
-        while agenda and (rank := min(agenda)) != _NEVER:
-            i = agenda.index(rank)
-            if key is not None and self._skipped(key, places[i], rank):
-                agenda[i] = _NEVER
-                continue
-            piece = symbols[i] + symbols[i + 1]
-            symbols[i : i + 2] = [piece]
-            del places[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = get(piece + symbols[i + 1], _NEVER)
-            if i:
-                agenda[i - 1] = get(symbols[i - 1] + piece, _NEVER)
-        return symbols
-
-    def _long(self, text: str, key: int | Trace | None) -> list[str]:
+        return mix(key + place * _PLACE + rank * _RANK & _M64) < self.below
+
+    def agenda(self, text: str, key: int | None) -> list[str]:
+        """The pieces (and single characters without one) that spell one segment; key: None for no dropout."""
         symbols: list[str | None] = list(text)
         n, order = len(symbols), self.order
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -204,68 +155,138 @@ class Codec:
                 heappush(agenda, (r, h, x))
         return [x for x in symbols if x is not None]
 
-    def _ids(self, segment: str, key: int | Trace | None) -> bytes:
-        out: list[int] = []
-        for x in self.segment(segment, key):
-            if (i := self.ids.get(x)) is not None:
-                out.append(i)
+    def _in_step(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, draw: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Runs the agendas of segments, one a row, filled up with other: (symbols, whether one begins there)."""
+        n, width = symbols.shape
+        column = np.arange(width)
+        inside = column < sizes[:, None]
+        rank = np.full((n, width), _NEVER, np.int32)
+        rank[:, :-1] = np.where(inside[:, 1:], self.rank(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, -1), _NEVER)
+        after, before = (np.tile((column + d).astype(np.int16), (n, 1)) for d in (1, -1))
+        flat, ranks, nexts, lasts, begins = symbols.ravel(), rank.ravel(), after.ravel(), before.ravel(), inside.ravel()
+        rows = np.arange(n)
+        while len(rows):
+            at = rank[rows].argmin(axis=1)
+            base = rows * width
+            best = ranks[base + at]
+            live = best < _NEVER
+            rows, at, base, best = rows[live], at[live], base[live], best[live]
+            if draw:
+                drop = mix_all(keys[rows] + at.astype(np.uint64) * np.uint64(_PLACE) + best.astype(np.uint64) * np.uint64(_RANK)) < np.uint64(self.below)
+                ranks[(base + at)[drop]] = _NEVER
+                at, base, best, size = at[~drop], base[~drop], best[~drop], sizes[rows[~drop]]
             else:
-                out += [self.bytes[b] for b in x.encode()]
-        return pack(f"<{len(out)}I", *out)
+                size = sizes[rows]
+            here = base + at
+            there = base + nexts[here]
+            follow = nexts[there].astype(np.int64)
+            made = self.merged[best]
+            flat[here], begins[there], ranks[there], ranks[here] = made, False, _NEVER, _NEVER
+            nexts[here] = follow
+            some = np.flatnonzero(follow < size)
+            right = base[some] + follow[some]
+            lasts[right] = at[some]
+            ranks[here[some]] = self.rank(made[some], flat[right])
+            previous = lasts[here].astype(np.int64)
+            some = np.flatnonzero(previous >= 0)
+            left = base[some] + previous[some]
+            ranks[left] = self.rank(flat[left], made[some])
+        return symbols, begins.reshape(n, width)
+
+    def encode_all(self, texts: list[str], draws: list[int] | None) -> list[np.ndarray]:
+        """Ids of each text as little-endian unsigned 32-bit integers, its candidates drawn for under its own number;
+        draws: None for no dropout."""
+        points = np.frombuffer("".join(MARK + x for x in texts if x).encode("utf-32-le"), "<u4").astype(np.int64)
+        n = len(points)
+        size = np.array([len(x) + 1 if x else 0 for x in texts], np.int64)
+        begin = np.cumsum(size) - size  # of each text
+        if not n:
+            return [np.zeros(0, "<u4") for _ in texts]
+        heads = begin[size > 0]
+        literal = points == ord(MARK)
+        literal[heads] = False
+        points[points == 32] = ord(MARK)
+        points[literal] = _LITERAL
+        mark = points == ord(MARK)
+        fresh = mark.copy()
+        fresh[1:] &= ~mark[:-1]
+        fresh |= literal
+        fresh[1:] |= literal[:-1]
+        fresh[heads] = True
+        start = np.flatnonzero(fresh)
+        length = np.diff(np.append(start, n))
+        symbols, begins = self.of_char[points].astype(np.int64), np.ones(n, bool)
+        keys = np.zeros(len(start), np.uint64)
+        if draws is not None:
+            owner = np.searchsorted(heads, start, side="right") - 1
+            own = np.array([mix(self.seed + mix(d & _M64) & _M64) for d, x in zip(draws, texts) if x], np.uint64)
+            keys = own[owner] + (start - heads[owner]).astype(np.uint64) * np.uint64(_PLACE)
+        order = np.argsort(length, kind="stable")
+        order = order[np.searchsorted(length[order], 2) :]
+        few = int(np.searchsorted(length[order], SHORT, side="right"))
+        for a in range(0, few, STEP):
+            rows = order[a : min(a + STEP, few)]
+            sizes = length[rows]
+            inside = np.arange(sizes[-1]) < sizes[:, None]
+            cells = (start[rows][:, None] + np.arange(sizes[-1]))[inside]
+            table = np.full(inside.shape, self.other, np.int64)
+            table[inside] = symbols[cells]
+            table, first = self._in_step(table, sizes, keys[rows], draws is not None)
+            symbols[cells], begins[cells] = table[inside], first[inside]
+        for i in order[few:].tolist():
+            at, text = int(start[i]), "".join(map(chr, points[start[i] : start[i] + length[i]].tolist()))
+            begins[at : at + len(text)] = False
+            for x in self.agenda(text, int(keys[i]) if draws is not None else None):
+                symbols[at], begins[at] = self.symbol.get(x, self.other), True
+                at += len(x)
+        where = np.flatnonzero(begins)
+        ids = self.id_of[symbols[where]]
+        odd = np.flatnonzero(ids < 0)
+        spelt = [self._spell(x) for x in points[where[odd]].tolist()]
+        count = np.ones(len(ids), np.int64)
+        count[odd] = [len(x) for x in spelt]
+        out = np.repeat(ids, count).astype("<u4")
+        if spelt:
+            out[np.repeat(ids < 0, count)] = np.concatenate(spelt)
+        upto = np.append(0, np.cumsum(count))
+        bounds = upto[np.searchsorted(where, np.append(begin, n))].tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _spell(self, point: int) -> list[int]:
+        """The byte pieces of a character."""
+        if point not in self.spelt:
+            self.spelt[point] = [self.bytes[b] for b in (MARK if point == _LITERAL else chr(point)).encode()]
+        return self.spelt[point]
 
     def encode(self, text: str, draws: int | None = 0) -> np.ndarray:
-        """Ids of text as little-endian unsigned 32-bit integers; draws: a number per document; None: no dropout."""
-        if not text:
-            return np.zeros(0, "<u4")
-        marked = MARK + text.replace(" ", MARK)
-        if MARK not in text:
-            return np.frombuffer(self._marked(marked, draws, 0), "<u4")
-        out, at, mark = [], 0, pack("<3I", *[self.bytes[b] for b in MARK.encode()])
-        for n, part in enumerate((MARK + text.replace(MARK, "\0\1mark\1\0").replace(" ", MARK)).split("\0\1mark\1\0")):
-            out += [mark] * (n > 0) + [self._marked(part, draws, at)]
-            at += len(part) + 1
-        return np.frombuffer(b"".join(out), "<u4")
-
-    def _marked(self, marked: str, draws: int | None, at: int) -> bytes:
-        """Ids of a stretch that begins at this place of the text."""
-        segments = _SEGMENT.findall(marked)
-        if draws is None:
-            return b"".join(map(self.plain.__getitem__, segments))
-        if len(self.states.ids) >= self.most or len(self.states.first) >= 2 * self.most:
-            self.states = States(self)
-        states, key = self.states, mix(self.seed + mix(draws & _M64) & _M64)
-        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
-        keys = np.uint64(key) + (np.cumsum(sizes) - sizes + at).astype(np.uint64) * np.uint64(_PLACE)
-        first = np.array([states.of(x) if len(x) <= self.longest else -1 for x in segments], np.int64)
-        drawn = states.draw(first, keys, self.below)
-        return b"".join(states.ids[n] if n >= 0 else self._ids(x, y) for n, x, y in zip(drawn, segments, keys.tolist()))
+        """Ids of one text; draws: its document's number, None for no dropout."""
+        return self.encode_all([text], None if draws is None else [draws])[0]
 
     def decode(self, ids) -> str:
-        """The text whose ids these are: the first piece's word mark stands for no space."""
+        """The text whose ids these are: the first word mark stands for no space."""
         return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
 
 
-@lru_cache(maxsize=1)
-def worker_codec(vocabulary: str, seed: int, rate: float) -> Codec:
-    """The codec of this worker process: a later task finds the segments that earlier ones met."""
-    return Codec(vocabulary, seed, rate)
-
-
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, lossless, ids of each row; decoding is done on every row."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(vocabulary, seed, rate)
+        codec = worker_state(("dropout", vocabulary, seed, rate), lambda: Codec(vocabulary, seed, rate))
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                rows, size = [], 0
-                while at < len(texts) and size < 1 << 20:
-                    ids = codec.encode(texts[at], codec.hash(b"%d" % doc_ids[at] if doc_ids[at] is not None else b"", seed))
-                    back = codec.decode(ids.tolist())
-                    rows.append((doc_ids[at], len(ids), zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == texts[at], ids.astype(np.int32)))
-                    size += len(ids)
-                    at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), OUT.types)], schema=OUT)
+            for a, b in slices(batch, "text"):
+                doc_ids, texts = (batch.column(i)[a:b].to_pylist() for i in (0, 1))
+                made = codec.encode_all(texts, [codec.hash(b"%d" % i if i is not None else b"", seed) for i in doc_ids])
+                back = [codec.decode(ids.tolist()) for ids in made]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc_ids, pa.int64()),
+                        pa.array([len(x) for x in made], pa.int64()),
+                        pa.array([zlib.crc32(x) for x in made], pa.int64()),
+                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]),
+                        pa.array([x == y for x, y in zip(back, texts)], pa.bool_()),
+                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(np.concatenate(made).astype(np.int32))),
+                    ],
+                    schema=OUT,
+                )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(work, ddl(OUT))
