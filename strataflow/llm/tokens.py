@@ -14,12 +14,11 @@ import json
 import os
 import re
 from collections.abc import Callable
-from functools import lru_cache
 from struct import pack
 
 import numpy as np
 
-from strataflow.llm.common import tokenizer_path
+from strataflow.llm.common import tokenizer_path, worker_state
 
 #: Parts begin at white space after another character; the characters are white space to every library concerned.
 _CUT = re.compile(r"(?<=\S)(?=[ \n\t])")
@@ -40,40 +39,51 @@ class Irregular(ValueError):
     """White space follows white space here, or ends the text."""
 
 
+#: Bytes that an entry of a table costs beside its part and ids.
+_ENTRY = 200
+
+
 class Parts(dict):
-    """Ids by part, found as they are asked for.  Once it is full, what was met since the last turn stays at hand, the
-    rest goes; parts of more than longest characters aren't kept."""
+    """Ids by part, found as they are asked for.  Once about most bytes are held, what was met since the last turn stays
+    at hand, the rest goes; parts of more than longest characters aren't kept."""
 
-    def __init__(self, encode: Callable[[str], bytes], most: int, longest: int):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 64 << 20, longest: int = 256):
         super().__init__()
         self.encode, self.most, self.longest = encode, most, longest
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def __missing__(self, part: str) -> bytes:
         if (known := self.older.pop(part, None)) is None:
             known = self.encode(part)
+        return self.keep(part, known)
+
+    def keep(self, part: str, known: bytes) -> bytes:
         if len(part) <= self.longest:
-            if len(self) >= self.most:
-                self.older = dict(self)
+            if self.held >= self.most:
+                self.older, self.held = dict(self), 0
                 self.clear()
             self[part] = known
+            self.held += _ENTRY + len(part) + len(known)
         return known
 
 
 class Encoder:
     """ids(texts) gives each text's ids as an array of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, name: str, most: int = 800_000, longest: int = 256):
+    def __init__(self, name: str, most: int = 64 << 20, longest: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         path = tokenizer_path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the names of special tokens in a text are ordinary text
         self.model = self.tokenizer.model
         with open(path) as f:
-            pre = json.load(f)["pre_tokenizer"]
+            parsed = json.load(f)
+        pre = parsed["pre_tokenizer"]
+        #: A text that holds the name of an added token, in capitals or not, goes through the library as a whole.
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in parsed["added_tokens"]) or "(?!)", re.IGNORECASE)
         self.lower = pre["type"] == "Sequence"
         self.pattern = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if self.lower else _BYTE_LEVEL)
         self.letters = byte_letters()
@@ -94,8 +104,7 @@ class Encoder:
             return self._merge(part if word is part else self.letters[32] + word)
         if _COMMON.fullmatch(part):
             return b"".join(map(self._piece, self.pattern.findall(part.lower() if self.lower else part)))
-        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return pack(f"<{len(ids)}I", *ids)
+        return self._whole(part)
 
     def _merge(self, letters: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(letters)]
@@ -106,11 +115,16 @@ class Encoder:
         cache, key = (self.after, piece[1:]) if piece[0] == " " and not piece[-1].isspace() else (self.first, piece)
         if (known := cache.get(key)) is None:
             known = self._merge(piece.encode().decode("latin-1").translate(self.letters))
-            if len(key) <= self.longest:
-                cache[key] = known
+            cache.keep(key, known)
         return known
 
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
+
     def _ids(self, text: str) -> bytes:
+        if self.added.search(text):
+            return self._whole(text)
         if self.lower and _COMMON.fullmatch(text):
             text = text.lower()
         head, *tail = text.split(" ")
@@ -125,7 +139,6 @@ class Encoder:
         return [np.frombuffer(self._ids(x), "<u4") for x in texts]
 
 
-@lru_cache(maxsize=1)
 def encoder(name: str) -> Encoder:
     """The encoder of this worker process: a later task finds the parts that earlier ones met."""
-    return Encoder(name)
+    return worker_state(("encoder", name), lambda: Encoder(name))
