@@ -10,11 +10,19 @@ begin at anchors instead of all.  A run is the stretch of windows that share one
     bucket.  A bucket sorts its runs by multikey quicksort and compares neighbours.  Equal tokens: every window of these
     runs repeats.  Equal leading token only: some windows may; the run is a candidate.  A bucket can't judge its first
     and last leading token alone; their rows are compared across boundaries by an aggregation over all buckets.
-3.  Candidates fetch their bytes from the store and are range-partitioned by leading token; in a bucket the windows of
-    each leading token are sorted and compared, again with a comparison across boundaries for its first and last.
-4.  The repeated stretches return to their row groups, where each text's stretches are merged and cut out.
-
-Windows count as equal if leading token and window hash (two independent 64-bit hashes) are.
+3.  Candidates fetch their bytes from the store and are range-partitioned by leading token.  A bucket ranks its suffixes
+    by their first LENGTH bytes, with keys that span twice as many bytes each time (window_ranks), and compares
+    neighbours byte for byte.
+4.  A hot token, with more bytes than a bucket should hold, is split by what follows and what precedes the anchor: one
+    order by the bytes from the anchor on, one by the bytes before it, backwards, each with sampled splitters that all
+    tasks know.  A window d bytes of which lie before the anchor is judged in the first order unless a splitter begins with
+    its other LENGTH - d bytes (only then can equal windows lie in several buckets); else in the second order unless a
+    splitter begins with its d bytes.  What neither can judge consists of parts of two splitters, so there are few such
+    windows; each task counts its own and they are compared across tasks.
+5.  The repeated stretches return to their row groups, where each text's stretches are merged and cut out.
+
+Equality of whole runs (2), of leading tokens and of the few windows compared across tasks (4) is that of two independent
+64-bit hashes, else that of bytes.
 
 Defined results: null text is empty; texts shorter than a window keep all bytes; repeated rows repeat each other's
 bytes; null ids are kept; an empty table gives no rows; columns other than id and text aren't read.
@@ -23,6 +31,7 @@ bytes; null ids are kept; an empty table gives no rows; columns other than id an
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +50,13 @@ GROUP_BYTES = 1 << 20
 STRETCH = 1 << 21
 _PLACE_BITS = 22
 #: Runs, and bytes of candidates, per bucket.
-PER_BUCKET, BYTES_PER_BUCKET = 1_000_000, 32 << 20
+PER_BUCKET, BYTES_PER_BUCKET = 1_000_000, 16 << 20
+#: Row groups of the store that a task reads again, about.
+GROUPS_PER_TASK = 256
 #: A token with more than a bucket's even share of the bytes, divided by this, is split over buckets.
 SPLITS = 2
+#: Rows sampled for each splitter.
+SAMPLES = 32
 STORE = arrow_schema([("doc_id", pa.int64()), ("text", pa.binary())])
 _PLACE = [("file", pa.string()), ("group", pa.int32()), ("row", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
 #: token is null in the one row per row group that stands for the group itself.
@@ -54,6 +67,8 @@ REPEATED, CANDIDATE, SAMPLE, PENDING = range(4)
 BYTES = arrow_schema([("token", pa.int64()), ("sample", pa.bool_()), *_PLACE, ("data", pa.binary())])
 #: n: how often a pending window is in its bucket.
 SPANS = arrow_schema([("pending", pa.bool_()), ("n", pa.int64()), ("token", pa.int64()), ("window", pa.int64()), *_PLACE])
+#: A part of a hot run with the bucket that judges it, or a stretch or window judged already (bucket null).
+DEALT = arrow_schema([("bucket", pa.int64()), *[(f.name, f.type) for f in BYTES], *[(n, t) for n, t in (("pending", pa.bool_()), ("n", pa.int64()), ("window", pa.int64()))]])
 KEPT = arrow_schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -149,6 +164,30 @@ def _changes(keys: list[np.ndarray], rows: np.ndarray, upto: np.ndarray) -> np.n
     return change
 
 
+def window_ranks(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Rank of each place's next length bytes among all places (the order of the suffixes as far as that), ties equal.
+
+    First by eight bytes, then by keys that pair the ranks of two strings so far; zeros follow the end."""
+
+    def dense(keys: np.ndarray) -> np.ndarray:
+        order = np.argsort(keys)
+        own = keys[order]
+        out = np.empty(len(keys), np.int64)
+        out[order] = np.cumsum(np.append(False, own[1:] != own[:-1]))
+        return out
+
+    n = len(data)
+    padded = np.append(data, np.zeros(8, np.uint8)).astype(np.uint64)
+    word = np.zeros(n, np.uint64)
+    for k in range(8):
+        word = word << np.uint64(8) | padded[k : k + n]
+    rank, size = dense(word), 8
+    while size < length:
+        step = min(size, length - size)
+        rank, size = dense(rank * n + np.append(rank[step:], np.zeros(min(step, n), np.int64))), size + step
+    return rank
+
+
 def stretches(*values: np.ndarray) -> np.ndarray:
     """Number of the stretch of equal values that each row belongs to, for sorted rows."""
     change = np.zeros(len(values[0]), bool)
@@ -315,12 +354,12 @@ def _groups(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[st
         handle.close()
 
 
-def _to_groups(df: DataFrame) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _to_groups(df: DataFrame, groups: int) -> DataFrame:
+    n = partitions_for(df.sparkSession, groups, GROUPS_PER_TASK)
     return df.repartition(n, "file", "group").sortWithinPartitions("file", "group")
 
 
-def fetch(candidates: DataFrame, folder: str) -> DataFrame:
+def fetch(candidates: DataFrame, folder: str, groups: int) -> DataFrame:
     """Rows of BYTES: candidates and samples with the bytes of their windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,80 +368,161 @@ def fetch(candidates: DataFrame, folder: str) -> DataFrame:
             out = [(r["token"], r["kind"] == SAMPLE, r["file"], r["group"], r["row"], r["start"], r["end"], texts[r["row"]].as_buffer()[r["start"] : r["end"]].to_pybytes()) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), BYTES.types)], schema=BYTES)
 
-    return _to_groups(candidates.select("file", "group", "kind", "token", "row", "start", "end")).mapInArrow(work, ddl(BYTES))
+    return _to_groups(candidates.select("file", "group", "kind", "token", "row", "start", "end"), groups).mapInArrow(work, ddl(BYTES))
+
+
+def _spans(table: pa.Table, owner: np.ndarray, window: np.ndarray | None, often: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    base = table.select(["token", "file", "group", "row"]).take(pa.array(owner)).combine_chunks()
+    n = len(owner)
+    columns = {c: base[c].combine_chunks() if n else base[c] for c in base.column_names}
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, window is not None)), pa.array(often), columns["token"], pa.nulls(n, pa.int64()) if window is None else pa.array(window), columns["file"], columns["group"], columns["row"], pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=SPANS)
+
+
+def _windows(table: pa.Table, group: np.ndarray, pending: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of SPANS for windows that are equal within a group of table (rows of BYTES); pending: also each distinct window
+    once, with its count."""
+    sizes = table["end"].to_numpy().astype(np.int64) - table["start"].to_numpy()
+    data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8)
+    at = np.cumsum(sizes) - sizes
+    count = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(sizes)), count)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    place = at[owner] + inner
+    rank = window_ranks(data)[place]
+    start = table["start"].to_numpy()[owner] + inner
+    row_group = group[owner]
+    order = np.lexsort((rank, row_group))
+    same = stretches(row_group[order], rank[order])
+    sample = table["sample"].to_numpy()[owner]
+    often = np.zeros(len(owner), np.int64)
+    often[order] = np.bincount(same, 1 + sample[order])[same]  # a sample stands for two runs at least
+    rows = np.flatnonzero((often > 1) & ~sample)  # repeated windows in a row make one stretch
+    if len(rows):
+        fresh = np.append(True, (np.diff(rows) != 1) | (owner[rows][1:] != owner[rows][:-1]))
+        first, last = rows[fresh], rows[np.append(np.flatnonzero(fresh)[1:] - 1, len(rows) - 1)]
+        yield _spans(table, owner[first], None, often[first], start[first], start[last] + LENGTH)
+    if pending:
+        once = np.zeros(len(owner), bool)
+        once[order] = np.append(True, same[1:] != same[:-1])
+        some = np.flatnonzero(once)
+        yield _spans(table, owner[some], rolling(data, LENGTH, _B)[place[some]].view(np.int64), often[some], start[some], start[some] + LENGTH)
 
 
-def compare_windows(content: DataFrame) -> DataFrame:
-    """Rows of SPANS: repeated stretches, and the windows of tokens that buckets may share (pending).
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the windows of each token in a bucket: rows of SPANS, none pending."""
+    table = _columns(batches, BYTES).combine_chunks()
+    if not table.num_rows:
+        return
+    table = table.take(pa.array(np.argsort(table["token"].to_numpy(), kind="stable"))).combine_chunks()
+    group = stretches(table["token"].to_numpy())
+    sizes = table["end"].to_numpy().astype(np.int64) - table["start"].to_numpy()
+    begin = 0
+    while begin < len(sizes):  # whole tokens, about 2 MB of bytes at a time
+        end = min(len(sizes), begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), 2 << 20))))
+        end = int(np.searchsorted(group, group[end - 1], side="right"))
+        yield from _windows(table.slice(begin, end - begin), group[begin:end])
+        begin = end
 
-    Rows of a token stay together unless the token has a large share of all bytes; only such hot tokens are split over
-    buckets, and only a bucket's first and last token can go on in another one.
-    """
 
-    dealt = BYTES.append(pa.field("hot", pa.bool_()))
+def _anchors(data: list[bytes]) -> list[int]:
+    """Where the anchor of each run lies in its bytes."""
+    sizes = np.array([len(x) for x in data], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    hashes, low = rolling(np.frombuffer(b"".join(data), np.uint8), BLOCK, _A), np.uint64((1 << _PLACE_BITS) - 1)
+    return [int(np.argmin(hashes[a : a + LENGTH - BLOCK + 1] & ~low)) for a in begin.tolist()]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _columns(batches, dealt).combine_chunks()
-        if not table.num_rows:
-            return
-        table = table.take(pa.array(np.argsort(table["token"].to_numpy(), kind="stable"))).combine_chunks()
-        group = stretches(table["token"].to_numpy())
-        edges = _by_boundaries(group) & table["hot"].to_numpy()  # other tokens are whole in a bucket
-        sizes = table["end"].to_numpy().astype(np.int64) - table["start"].to_numpy()
-        begin = 0
-        while begin < len(sizes):  # whole groups, about 4 MB of bytes at a time
-            end = min(len(sizes), begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), 4 << 20))))
-            end = int(np.searchsorted(group, group[end - 1], side="right"))
-            yield from _windows(table.slice(begin, end - begin), group[begin:end], sizes[begin:end], edges[begin:end])
-            begin = end
-
-    def _windows(table: pa.Table, group: np.ndarray, sizes: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8)
-        at = np.cumsum(sizes) - sizes
-        count = sizes - LENGTH + 1
-        owner = np.repeat(np.arange(len(sizes)), count)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        window = rolling(data, LENGTH, _B)[at[owner] + inner].view(np.int64)
-        start = table["start"].to_numpy()[owner] + inner
-        row_group = group[owner]
-        order = multikey_sort([row_group, window])
-        same = stretches(row_group[order], window[order])
-        sample = table["sample"].to_numpy()[owner]
-        often = np.zeros(len(owner), np.int64)
-        often[order] = np.bincount(same, 1 + sample[order])[same]  # a sample stands for two runs at least
-        once = np.zeros(len(owner), bool)
-        once[order] = np.append(True, same[1:] != same[:-1])
-        edge = np.flatnonzero(edges[owner] & once)  # each window once, with its count in this bucket
-        # repeated windows in a row make one stretch
-        rows = np.flatnonzero((often > 1) & ~sample)
-        if len(rows):
-            fresh = np.append(True, (np.diff(rows) != 1) | (owner[rows][1:] != owner[rows][:-1]))
-            first, last = rows[fresh], rows[np.append(np.flatnonzero(fresh)[1:] - 1, len(rows) - 1)]
-            yield _spans(table, owner[first], None, often[first], start[first], start[last] + LENGTH)
-        for k in range(0, len(edge), 50_000):
-            some = edge[k : k + 50_000]
-            yield _spans(table, owner[some], window[some], often[some], start[some], start[some] + LENGTH)
-
-    def _spans(table: pa.Table, owner: np.ndarray, window: np.ndarray | None, often: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-        base = table.select(["token", "file", "group", "row"]).take(pa.array(owner)).combine_chunks()
-        n = len(owner)
-        columns = {c: base[c].combine_chunks() if n else base[c] for c in base.column_names}
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, window is not None)), pa.array(often), columns["token"], pa.nulls(n, pa.int64()) if window is None else pa.array(window), columns["file"], columns["group"], columns["row"], pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=SPANS)
 
+def _orders(token: int, data: bytes, anchor: int) -> tuple[bytes, bytes]:
+    """Keys of a run in both orders: its token, then the bytes from the anchor on, or those before it, backwards."""
+    head = (token + (1 << 63)).to_bytes(8, "big")
+    return head + data[anchor : anchor + LENGTH], head + data[:anchor][::-1]
+
+
+def _reach(key: bytes, splitters: list[bytes]) -> tuple[int, int]:
+    """The bucket of a key, and how many bytes after the token it shares with any splitter, -1 if not even the token."""
+
+    def common(other: bytes) -> int:
+        low, high = 0, min(len(key), len(other))
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if key[:middle] == other[:middle] else (low, middle - 1)
+        return low
+
+    at = bisect_right(splitters, key)
+    return at, max([common(x) - 8 if common(x) >= 8 else -1 for x in splitters[max(0, at - 1) : at + 1]], default=-1)
+
+
+def split_hot(content: DataFrame, rows: int, buckets: int, folder: str) -> DataFrame:
+    """Rows of DEALT for the runs of hot tokens."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column(1).to_pylist()
+            made = [_orders(*x) for x in zip(batch.column(0).to_pylist(), data, _anchors(data) if data else [])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.binary()) for i in (0, 1)], ["forward", "backward"])
+
+    # SAMPLES rows a splitter and 350 bytes a row, whatever the size of the table
+    sampled = content.select("token", "data").sample(min(1.0, SAMPLES * buckets / max(rows, 1)), seed=7).mapInArrow(keys, "forward binary, backward binary").collect()
+    splitters = []
+    for i in (0, 1):
+        found = sorted(bytes(r[i]) for r in sampled)
+        splitters.append(sorted({found[k * len(found) // buckets] for k in range(1, buckets)}) if found else [])
+    sent = content.sparkSession.sparkContext.broadcast(splitters)
+
+    def part(row: tuple, anchor: int, low: int, high: int) -> tuple:
+        """The part of a run whose windows have low to high bytes before the anchor."""
+        token, sample, file, group, line, start, _, data = row
+        return token, sample, file, group, line, start + anchor - high, start + anchor - low + LENGTH, data[anchor - high : anchor - low + LENGTH]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forward, backward = sent.value
+        for batch in batches:
+            rows, dealt, both = list(zip(*(c.to_pylist() for c in batch.columns))), [], []
+            for row, anchor in zip(rows, _anchors(batch.column(7).to_pylist()) if rows else []):
+                first, second = _orders(row[0], row[7], anchor)
+                (a, shared), (b, before) = _reach(first, forward), _reach(second, backward)
+                least, most = max(0, anchor + LENGTH - len(row[7])), anchor
+                if (high := min(most, LENGTH - 1 - shared)) >= least:
+                    dealt.append((a, *part(row, anchor, least, high)))
+                least = max(least, LENGTH - shared)
+                if (low := max(least, before + 1)) <= most:
+                    dealt.append((buckets + b, *part(row, anchor, low, most)))
+                if (high := min(most, before)) >= least:
+                    both.append(part(row, anchor, least, high))
+            if dealt:
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, t) for x, t in zip(zip(*dealt), DEALT.types)], *[pa.nulls(len(dealt), t) for t in DEALT.types[9:]]], schema=DEALT)
+            if both:
+                table = pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*both), BYTES.types)], schema=BYTES)
+                for span in _windows(table, np.unique(table["token"].to_numpy(), return_inverse=True)[1], pending=True):
+                    yield pa.RecordBatch.from_arrays([span.column(c) if c in SPANS.names else pa.nulls(span.num_rows, t) for c, t in zip(DEALT.names, DEALT.types)], schema=DEALT)
+
+    return materialize(content.select(*BYTES.names).mapInArrow(work, ddl(DEALT)), f"{folder}/dealt")
+
+
+def compare_windows(content: DataFrame, folder: str) -> DataFrame:
+    """Rows of SPANS: repeated stretches, and the windows of hot tokens that no bucket can judge (pending).
+
+    Rows of a token stay together unless the token has a large share of all bytes; only such hot tokens are split."""
     spark, length = content.sparkSession, F.col("end") - F.col("start")
     total = int(content.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0])
     n = partitions_for(spark, total, BYTES_PER_BUCKET)
     # fewer than SPLITS * n tokens can have this share of the bytes, so their list may be broadcast
-    hot = content.groupBy("token").agg(F.sum(length).alias("bytes")).filter(F.col("bytes") * (SPLITS * n) > total).select("token", F.lit(True).alias("hot"))
-    marked = content.join(F.broadcast(hot), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).select(*BYTES.names, "hot")
-    keys = [F.when(F.col("hot"), F.col(c)) for c in ("file", "group", "row", "start")]
-    return marked.repartitionByRange(n, "token", *keys).mapInArrow(work, ddl(SPANS))
+    hot = content.groupBy("token").agg(F.sum(length).alias("bytes"), F.count(F.lit(1)).alias("rows")).filter(F.col("bytes") * (SPLITS * n) > total)
+    hot = materialize(hot.select("token", "rows"), f"{folder}/hot")
+    rows = hot.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    cold = content.join(F.broadcast(hot), "token", "left_anti") if rows else content
+    spans = cold.select(*BYTES.names).repartitionByRange(n, "token").mapInArrow(_judge, ddl(SPANS))
+    if not rows:
+        return spans
+    dealt = split_hot(content.join(F.broadcast(hot), "token", "left_semi"), rows, n, folder)
+    judged = dealt.filter("bucket is not null").repartitionByRange(2 * n, "bucket").select(*BYTES.names).mapInArrow(_judge, ddl(SPANS))
+    return spans.unionByName(judged).unionByName(dealt.filter("bucket is null").select(*SPANS.names))
 
 
 def judge_windows(spans: DataFrame) -> DataFrame:
-    """Compares pending windows across boundaries: (file, group, row, start, end) of those that repeat.
+    """Compares pending windows across tasks: (file, group, row, start, end) of those that repeat.
 
-    A bucket has told of its own repeats already; what is left are windows that are single in theirs but not in all.
+    A task has told of its own repeats already; what is left are windows that are single in theirs but not in all.
     """
     pending = spans.filter("pending")
     counts = pending.groupBy("token", "window").agg(F.sum("n").alias("all")).filter("all > 1")
@@ -412,7 +532,7 @@ def judge_windows(spans: DataFrame) -> DataFrame:
 # --- step 4: cut
 
 
-def cut(stretches_: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
+def cut(stretches_: DataFrame, groups: DataFrame, folder: str, count: int) -> DataFrame:
     """Rows of KEPT for every stored text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +559,7 @@ def cut(stretches_: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), KEPT.types)], schema=KEPT)
 
     place = ["file", "group", "row", "start", "end"]
-    return _to_groups(groups.select(*place).unionByName(stretches_.select(*place))).mapInArrow(work, ddl(KEPT))
+    return _to_groups(groups.select(*place).unionByName(stretches_.select(*place)), count).mapInArrow(work, ddl(KEPT))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -450,8 +570,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = materialize(compare_runs(runs, folder), f"{folder}/marks")
     judged = materialize(judge_pending(marks), f"{folder}/judged")
     both = marks.filter(F.col("kind") != PENDING).unionByName(judged)
-    content = materialize(fetch(both.filter(F.col("kind").isin(CANDIDATE, SAMPLE)), folder), f"{folder}/content")
-    spans = materialize(compare_windows(content), f"{folder}/spans")
+    groups = runs.filter("token is null")
+    count = groups.count()
+    content = materialize(fetch(both.filter(F.col("kind").isin(CANDIDATE, SAMPLE)), folder, count), f"{folder}/content")
+    spans = materialize(compare_windows(content, folder), f"{folder}/spans")
     place = ["file", "group", "row", "start", "end"]
     repeated = both.filter(F.col("kind") == REPEATED).select(*place).unionByName(spans.filter("not pending").select(*place)).unionByName(judge_windows(spans))
-    return cut(repeated, runs.filter("token is null"), folder)
+    return cut(repeated, groups, folder, count)

@@ -225,8 +225,18 @@ def test_gray_index_over_ranges(spark, monkeypatch):
 
 def test_suffix(docs, empty, monkeypatch):
     data = [(i, t.encode()) for i, t in pairs(docs)]
+    want = brute_force_repeats(data)
+    same([tuple(r) for r in suffix.remove_repeats(docs).collect()], want)
+    assert suffix.remove_repeats(empty).collect() == []
+    for name, value in (("GROUP_BYTES", 3000), ("STRETCH", 1500), ("PER_BUCKET", 40), ("BYTES_PER_BUCKET", 4000)):  # many groups, stretches and buckets
+        monkeypatch.setattr(suffix, name, value)
+    same([tuple(r) for r in suffix.remove_repeats(docs).collect()], want)
+
+
+def brute_force_repeats(data):
+    """(id, bytes, removed, spans, hash of what is kept) of each (id, bytes)."""
     seen = collections.Counter(b[s : s + 200] for _, b in data for s in range(len(b) - 199))
-    want = []
+    out = []
     for i, b in data:
         gone = np.zeros(len(b) + 1, int)
         for s in range(len(b) - 199):
@@ -235,12 +245,31 @@ def test_suffix(docs, empty, monkeypatch):
                 gone[s + 200] -= 1
         mask = np.cumsum(gone)[: len(b)] > 0
         kept = np.frombuffer(b, np.uint8)[~mask].tobytes()
-        want.append((i, len(b), int(mask.sum()), int((np.diff(np.append(0, mask.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    same([tuple(r) for r in suffix.remove_repeats(docs).collect()], want)
-    assert suffix.remove_repeats(empty).collect() == []
-    for name, value in (("GROUP_BYTES", 3000), ("STRETCH", 1500), ("PER_BUCKET", 40), ("BYTES_PER_BUCKET", 4000)):  # many groups, stretches and buckets
-        monkeypatch.setattr(suffix, name, value)
-    same([tuple(r) for r in suffix.remove_repeats(docs).collect()], want)
+        out.append((i, len(b), int(mask.sum()), int((np.diff(np.append(0, mask.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_with_hot_passages(spark, monkeypatch):
+    """Passages shared by nearly all documents: what differs lies before, after, or on both sides of their anchors."""
+    rng = random.Random(11)
+    long, short = ("".join(rng.choices("abcdefgh ", k=n)) for n in (420, 215))
+    heads, tails = ([("".join(rng.choices("ab", k=3)) * rng.randint(1, 20)) for _ in range(12)] for _ in range(2))
+    made = [rng.choice(heads) + p + rng.choice(tails) for p in (long, short, long + short) for _ in range(60)] + [short[:203], long[100:330], "x" * 700]
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)
+    want = brute_force_repeats([(i, t.encode()) for i, t in enumerate(made)])
+    monkeypatch.setattr(suffix, "PER_BUCKET", 30)
+    for size in (1 << 14, 1 << 11):
+        monkeypatch.setattr(suffix, "BYTES_PER_BUCKET", size)
+        same([tuple(r) for r in suffix.remove_repeats(frame).collect()], want)
+
+
+def test_window_ranks_are_the_order_of_the_bytes():
+    data = np.random.default_rng(1).integers(0, 2, 600, dtype=np.uint8)
+    data[100:300], data[350:550] = 1, data[:200]
+    raw = data.tobytes()
+    ranks = suffix.window_ranks(data).tolist()
+    want = sorted({raw[i : i + 200].ljust(200, b"\0") for i in range(600)})
+    assert ranks == [want.index(raw[i : i + 200].ljust(200, b"\0")) for i in range(600)]
 
 
 def test_pii(docs, empty):
