@@ -46,6 +46,16 @@ def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
 
 
+#: Row keys that may be broadcast, 8 bytes each.
+BROADCAST_KEYS = 2_000_000
+
+
+def without(rows: DataFrame, drop: DataFrame, path: str, key: str = "_row") -> DataFrame:
+    """rows whose key isn't in drop.  The list is written first; it's broadcast if it has at most BROADCAST_KEYS rows."""
+    drop = materialize(drop.select(key), path)
+    return rows.join(F.broadcast(drop) if drop.count() <= BROADCAST_KEYS else drop, key, "left_anti")
+
+
 def files_of(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI, for use on executors."""
     if "://" not in uri and not uri.startswith("file:"):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import WS, arrow_schema, ddl, materialize, shared_dir, text_of
+from strataflow.llm.common import WS, arrow_schema, ddl, materialize, partitions_for, shared_dir, text_of, without
 
 SLOTS = 4
 MOVES = 200
@@ -125,6 +125,8 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, WS, " ")
 
 
+#: Digests per partition of the index, about.
+PER_PARTITION = 200_000
 #: Digests that a task's own index holds before it hands them on and starts anew.
 COMBINE = 200_000
 
@@ -168,7 +170,7 @@ def live_index(digests: DataFrame, removed: DataFrame | None = None) -> DataFram
     once = digests.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).mapInArrow(_combine, ddl(GROUPS))
     if removed is not None:
         once = once.unionByName(removed.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(-1).cast("long").alias("group_size")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(spark, digests.count(), PER_PARTITION)
     return once.repartition(n, "digest").mapInArrow(_merge, ddl(GROUPS))
 
 
@@ -192,11 +194,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of equal texts the row with the smallest id, one row also where ids repeat."""
-    from pyspark.sql import Window
-
-    decided = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    own = docs.withColumn("_sha", F.sha2(normalised(text_of(text_col)).cast("binary"), 256))
-    kept = own.join(decided, (own["_sha"] == decided["_sha"]) & own[id_col].eqNullSafe(decided["_id"]), "left_semi")
-    one = Window.partitionBy("_sha").orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns])
-    return kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
+    """The rows of docs that stay: of equal texts the row with the smallest id, one row also where ids repeat.
+
+    Decisions move digests and row keys alone; only the keys of dropped rows meet the texts again.  Null ids are larger
+    than any other; all columns are kept as they are; an empty table stays empty."""
+    folder = shared_dir(docs.sparkSession, "first")
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), f"{folder}/rows")
+    slim = materialize(rows.select("_row", F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(text_of(text_col)).cast("binary"), 256)).alias("digest")), f"{folder}/digests")
+    several = materialize(live_index(slim).filter("group_size > 1"), f"{folder}/several")
+    members = slim.join(several, "digest").select("digest", "_row", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("may_stay"))
+    stays = members.filter("may_stay").groupBy("digest").agg(F.min("_row").alias("stays"))
+    return without(rows, members.join(stays, "digest").filter("_row != stays"), f"{folder}/dropped").select(*docs.columns)

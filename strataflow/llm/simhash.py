@@ -23,6 +23,7 @@ Bands of hashed minima propose pairs, SimHash within a wide limit and the sets'
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import arrow_schema, ddl, materialize, shared_dir, text_of
+from strataflow.llm.common import arrow_schema, ddl, materialize, shared_dir, slices, text_of, without
 
 SHINGLE, SEED, LIMIT = 3, 42, 2
 #: Near copies by words, for the pipeline: words a shingle; the least Jaccard similarity, as a fraction.
@@ -41,6 +42,9 @@ BANDS, ROWS, WIDE = 28, 4, 28
 #: Of a pair that is in no copy group together, as many of the BANDS * ROWS minima are equal, or its texts aren't compared
 #: (at similarity 0.8 about 90 of 112 are, fewer than EQUAL with probability under 1e-6).
 EQUAL = 66
+#: A band's group of more rows is proposed anew by bands of more minima each (at 0.8 all miss a pair with probability 1e-6),
+#: and what is as large even then is compared block by block.
+GROUP, MORE_BANDS, MORE_ROWS = 2048, 75, 8
 #: Distinct fingerprints per range, about.
 PER_RANGE = 100_000
 FANOUT = 8
@@ -288,34 +292,50 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return ALIKE[1] * common >= ALIKE[0] * (len(a) + len(b) - common)
 
 
-def sketch(shingles: np.ndarray) -> tuple[int, list[int], bytes]:
-    """(SimHash, a key per band, a byte of each minimum) of a shingle set.  A band's key hashes ROWS of the set's least values, each under a
-    multiplier of its own; sets of similarity s share a band with probability s ** ROWS."""
+def sketch(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[int, list[int], bytes]:
+    """(SimHash, a key per band, a byte of each minimum) of a shingle set.  A band's key hashes rows of the set's least
+    values, each under a multiplier of its own; sets of similarity s share a band with probability s ** rows."""
     from xxhash import xxh64_intdigest
 
-    rng = np.random.default_rng(SEED)
-    by, plus = rng.integers(0, 2**63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least, counts = np.full(BANDS * ROWS, 2**64 - 1, np.uint64), np.zeros(64, np.int64)
+    rng = np.random.default_rng(SEED + rows)
+    by, plus = rng.integers(0, 2**63, (2, bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least, counts = np.full(bands * rows, 2**64 - 1, np.uint64), np.zeros(64, np.int64)
     for at in range(0, len(shingles), 2048):
         h = shingles[at : at + 2048]
         least = np.minimum(least, (h * by + plus).min(axis=1))
         counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     fp = np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")[0]
-    bands = least.reshape(BANDS, ROWS).astype("<u8")
-    return int(fp), [xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(bands)], least.astype(np.uint8).tobytes()
+    keys = least.reshape(bands, rows).astype("<u8")
+    return int(fp), [xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(keys)], least.astype(np.uint8).tobytes()
 
 
-def sketches(rows: DataFrame, text_col: str) -> DataFrame:
+def sketches(rows: DataFrame, text_col: str, bands: int = BANDS, minima: int = ROWS) -> DataFrame:
     """row, fp, size (of its shingle set), bands and minima of each row."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
-            made = [sketch(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in made], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([x[1] for x in made], pa.list_(pa.int64())), pa.array([x[2] for x in made], pa.binary())], ["row", "fp", "size", "bands", "minima"])
+            for a, b in slices(batch, "text"):
+                sets = [shingle_set(x) for x in batch.column(1)[a:b].to_pylist()]
+                made = [sketch(x, bands, minima) for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x[0] for x in made], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([x[1] for x in made], pa.list_(pa.int64())), pa.array([x[2] for x in made], pa.binary())], ["row", "fp", "size", "bands", "minima"])
 
     return rows.select(F.col("_row").alias("row"), text_of(text_col).alias("text")).mapInArrow(work, "row long, fp long, size long, bands array<long>, minima binary")
 
 
+def likely(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Those (u, v) of pairs of which EQUAL minima are equal."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=LINKS).filter(pa.array((a == b).sum(axis=1) >= EQUAL))
+
+    own = drawn.select("row", "minima")
+    both = pairs.join(own.select(F.col("row").alias("u"), F.col("minima").alias("a")), "u").join(own.select(F.col("row").alias("v"), F.col("minima").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(work, ddl(LINKS))
+
+
 def verified(pairs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     """Those (u, v) of pairs whose rows' texts are alike."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,14 +358,19 @@ def verified(pairs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(work, ddl(LINKS))
 
 
-def other_pairs(members: DataFrame, folder: str) -> DataFrame:
-    """Pairs (u, v) of one band's members (key, row, fp, size, root, minima) of different roots that may be alike."""
+def other_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (u, v) of one group's members (key, row, fp, size, root, minima) of different roots that may be alike.
+
+    A group of more than GROUP rows is dealt into blocks; each two of them meet in a task of their own."""
+
     def work(table: pa.Table) -> pa.Table:
-        row, fp, size, root = (table[c].to_numpy() for c in ("row", "fp", "size", "root"))
+        row, fp, size, root, block = (table[c].to_numpy() for c in ("row", "fp", "size", "root", "block"))
+        low, high = table["i"][0].as_py(), table["j"][0].as_py()
         minima = np.frombuffer(b"".join(table["minima"].to_pylist()), np.uint8).reshape(len(row), -1)
         u, v = [], []
-        for i in range(len(row) - 1):
-            j = np.arange(i + 1, len(row))
+        right = np.flatnonzero(block == high)
+        for i in np.flatnonzero(block == low).tolist():
+            j = right[right > i] if low == high else right
             far = ALIKE[1] * np.minimum(size[i], size[j]) < ALIKE[0] * np.maximum(size[i], size[j])
             j = j[(root[j] != root[i]) & ~far & (np.bitwise_count((fp[j] ^ fp[i]).view(np.uint64)) <= WIDE)]
             j = j[(minima[j] == minima[i]).sum(axis=1) >= EQUAL]
@@ -353,33 +378,53 @@ def other_pairs(members: DataFrame, folder: str) -> DataFrame:
             v.append(np.minimum(row[i], row[j]))
         return pa.table([pa.array(np.concatenate(x or [np.zeros(0, np.int64)])) for x in (u, v)], schema=LINKS)
 
-    return materialize(members.groupBy("key").applyInArrow(work, ddl(LINKS)).distinct(), f"{folder}/others")
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
+    own = members.join(sizes, "key").withColumn("block", F.pmod(F.hash("row"), F.col("blocks")))
+    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j")))
+    dealt = own.withColumn("to", F.explode(to)).select("key", "to.i", "to.j", "block", "row", "fp", "size", "root", "minima")
+    return dealt.groupBy("key", "i", "j").applyInArrow(work, ddl(LINKS)).distinct()
 
 
 def near_copies(rows: DataFrame, text_col: str, folder: str) -> DataFrame:
     """(u, v): each row (by _row) that isn't the least of its component of alike rows, with that least one.
 
     Each band's members are compared with its least row first, so a large group of copies costs a comparison a member and
-    not one a pair.  What then lies in different components of one band is compared pair by pair.
+    not one a pair.  What then lies in different components of one band is compared pair by pair, in large groups (a
+    passage that many texts share) only where bands of more minima agree too.
     """
     drawn = materialize(sketches(rows, text_col), f"{folder}/sketches")
     members = drawn.select("row", "fp", "size", F.explode("bands").alias("key"))
     least = members.groupBy("key").agg(F.min(F.struct("row", "fp", "size")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = materialize(members.join(least, "key").filter("row != least.row"), f"{folder}/met")
     near = met.filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= WIDE) & (ALIKE[1] * F.least("size", "least.size") >= ALIKE[0] * F.greatest("size", "least.size")))
-    found = materialize(verified(near.select(F.col("row").alias("u"), F.col("least.row").alias("v")).distinct(), rows, text_col), f"{folder}/found")
-    stars = components(found, f"{folder}/first")
-    left = met.filter("n > 2").join(stars.select(F.col("u").alias("row"), F.col("v").alias("root")), "row", "left").select("key", "row", "fp", "size", F.coalesce("root", "row").alias("root"))
-    left = materialize(left, f"{folder}/left")
-    mixed = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    more = materialize(verified(other_pairs(left.join(mixed, "key").join(drawn.select("row", "minima"), "row"), folder), rows, text_col), f"{folder}/more")
-    return components(stars.unionByName(more), f"{folder}/second") if more.head(1) else stars
+    pairs = materialize(likely(near.select(F.col("row").alias("u"), F.col("least.row").alias("v")).distinct(), drawn), f"{folder}/pairs")
+    stars = components(materialize(verified(pairs, rows, text_col), f"{folder}/found"), f"{folder}/first")
+    roots = stars.select(F.col("u").alias("row"), F.col("v").alias("root"))
+
+    def mixed(found: DataFrame, name: str) -> DataFrame:
+        """found (key, row, fp, size) with root, and the number n of each key's rows, of keys with several roots."""
+        rooted = materialize(found.join(roots, "row", "left").select("key", "row", "fp", "size", F.coalesce("root", "row").alias("root")), f"{folder}/{name}")
+        keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("key", "n")
+        return materialize(rooted.join(keys, "key"), f"{folder}/{name}-mixed")
+
+    left = mixed(met.filter("n > 2").select("key", "row", "fp", "size"), "left")
+    more = [other_pairs(left.filter(F.col("n") <= GROUP).join(drawn.select("row", "minima"), "row"))]
+    large = materialize(left.filter(F.col("n") > GROUP).select("row").distinct(), f"{folder}/large")
+    if large.head(1):
+        # rows of large groups only: their members' other bands, and a group's least row, were compared above
+        again = sketches(rows.join(large, rows["_row"] == large["row"], "left_semi"), text_col, MORE_BANDS, MORE_ROWS)
+        again = materialize(again.select("row", "fp", "size", F.explode("bands").alias("key")), f"{folder}/again")
+        more.append(other_pairs(mixed(again, "large-left").join(drawn.select("row", "minima"), "row")))
+    pairs = materialize(reduce(DataFrame.unionByName, more).distinct(), f"{folder}/others")
+    found = materialize(verified(pairs, rows, text_col), f"{folder}/more")
+    return components(stars.unionByName(found), f"{folder}/second") if found.head(1) else stars
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: exactly one of each component of alike rows, that with the smallest id, null ids last.
 
-    Rows are told apart by a key of their own, so repeated and null ids don't matter.
+    Rows are told apart by a key of their own, so repeated and null ids don't matter.  Null text is empty; empty texts and
+    texts without words are alike; all columns are kept as they are; an empty table stays empty.
     """
     folder = shared_dir(docs.sparkSession, "near-copies")
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), f"{folder}/rows")
@@ -387,5 +432,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = stars.select(F.col("u").alias("_row"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("_row"), F.col("v").alias("root")).distinct())
     ids = nodes.join(rows.select("_row", F.col(id_col).alias("id")), "_row")
     first = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row"))["_row"].alias("first"))
-    drop = ids.join(first, "root").filter("_row != first").select("_row")
-    return rows.join(drop, "_row", "left_anti").select(*docs.columns)
+    return without(rows, ids.join(first, "root").filter("_row != first"), f"{folder}/dropped").select(*docs.columns)

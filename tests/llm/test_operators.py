@@ -172,7 +172,9 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).collect() == []
 
 
-def test_near_copies_equal_brute_force(spark):
+@pytest.mark.parametrize("group", [simhash.GROUP, 8])  # 8: most groups go through further bands and blocks
+def test_near_copies_equal_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
     rng = random.Random(8)
     words = ["w%d" % i for i in range(3000)]
     made = []
