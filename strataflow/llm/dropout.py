@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.common import arrow_schema, ddl, slices, text_of, tokenizer_path, worker_state
+from strataflow.llm.tables import ABSENT, PairTable
 
 VOCABULARY = "piece_bpe_32k.model"
 SEED, RATE = 17, 0.1
@@ -38,7 +39,7 @@ OUT = arrow_schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32",
 SHORT = 64
 #: Segments that run in step at a time.
 STEP = 8192
-_NEVER = 1 << 30
+_NEVER = ABSENT
 _PLACE, _RANK = 0xD1B54A32D192ED03, 0x9E3779B97F4A7C15
 #: Stands for a literal word mark among code points.
 _LITERAL = 0x110000
@@ -58,42 +59,6 @@ def mix_all(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-class PairTable:
-    """Rank of the merge of two symbols, by open addressing; _NEVER for those without one."""
-
-    def __init__(self, pairs: dict[tuple[int, int], int], symbols: int):
-        self.symbols = symbols
-        self.bits = max(4, (3 * len(pairs)).bit_length())
-        self.code = np.full(1 << self.bits, -1, np.int64)
-        self.rank = np.full(1 << self.bits, _NEVER, np.int32)
-        left = np.array([a * symbols + b for a, b in pairs], np.int64)
-        ranks, slot = np.array(list(pairs.values()), np.int32), self._slot(left)
-        while len(left):
-            free = np.flatnonzero(self.code[slot] < 0)
-            first = free[np.unique(slot[free], return_index=True)[1]]
-            self.code[slot[first]], self.rank[slot[first]] = left[first], ranks[first]
-            rest = np.ones(len(left), bool)
-            rest[first] = False
-            left, ranks, slot = left[rest], ranks[rest], (slot[rest] + 1) & (len(self.code) - 1)
-
-    def _slot(self, code: np.ndarray) -> np.ndarray:
-        return (code.astype(np.uint64) * np.uint64(_RANK) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        code = a * np.int64(self.symbols) + b
-        slot = self._slot(code)
-        found = self.code[slot]
-        out = np.where(found == code, self.rank[slot], np.int32(_NEVER))
-        open_ = np.flatnonzero((found != code) & (found >= 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & (len(self.code) - 1)
-            found = self.code[slot[open_]]
-            hit = found == code[open_]
-            out[open_[hit]] = self.rank[slot[open_[hit]]]
-            open_ = open_[~hit & (found >= 0)]
-        return out
-
-
 class Codec:
     """Encodes with dropout and decodes, over one public vocabulary."""
 

@@ -2,8 +2,8 @@
 
 The pieces of a fixed public vocabulary have a probability in each language.  A word's probability is the sum over all
 its segmentations into pieces, by a forward algorithm; a text's is the product over its words.  Words are runs of
-letters in lower case with the vocabulary's word mark in front; a letter that no piece covers counts as one unknown
-piece.  Probabilities come from expectation maximisation over the words of a bounded sample of labelled documents
+letters in lower case with the vocabulary's word mark in front, of any length; a letter that no piece covers counts as one
+unknown piece.  Probabilities come from expectation maximisation over the words of a bounded sample of labelled documents
 (forward-backward, so the expected counts are marginalised as well).
 
 The score is the winner's share after tempering by the square root of the word count: 1/languages to 1.
@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import tokenizer_path
+from strataflow.llm.common import slices, tokenizer_path, worker_state
+from strataflow.llm.tables import ABSENT, PairTable
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents per language to fit on, in expectation; they are chosen by a hash of their id.
@@ -35,9 +36,13 @@ ROUNDS = 3
 FLOOR, UNKNOWN = 0.01, 1e-4
 UND = "und"
 MARK = "▁"
-_WORD = re.compile(r"[^\W\d_]+")
-#: A longer run of letters is scored in stretches of this length.
-STRETCH = 48
+_WORD = re.compile(r"[^\W\d_]+")  # letters and numerals that aren't digits; the latter are cut out after it
+#: The forward pass of longer words is rescaled as it goes; a shorter one's probability can't underflow.
+SHORT = 24
+#: Cells (words by places) of one forward pass.
+CELLS = 1 << 18
+#: Bytes of words that a worker keeps, about.
+KEPT_BYTES = 48 << 20
 
 
 @dataclass
@@ -50,62 +55,107 @@ class Model:
     def __post_init__(self):
         self.key = uuid.uuid4().hex
         self.longest = max(map(len, self.pieces), default=1)
-        # each beginning of a piece, with the piece's number or -1 if it is only a beginning
-        self.walk = {p[:i]: -1 for p in self.pieces for i in range(1, len(p))} | self.pieces
-
-    def lattice(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end in word, the (start, piece) that reach it."""
-        unknown, get = len(self.probabilities) - 1, self.pieces.get
-        out = []
-        for end in range(1, len(word) + 1):
-            arcs = [(a, p) for a in range(max(0, end - self.longest), end) if (p := get(word[a:end])) is not None]
-            if not arcs or arcs[-1][0] != end - 1:
-                arcs.append((end - 1, unknown))
-            out.append(arcs)
-        return out
+        # a tree of all beginnings of pieces; node 0 is the empty one
+        chars = sorted({c for p in self.pieces for c in p})
+        self.char = np.full(0x110000, len(chars), np.int32)
+        self.char[[ord(c) for c in chars]] = np.arange(len(chars))
+        nodes = {x: n for n, x in enumerate(sorted({p[:i] for p in self.pieces for i in range(len(p) + 1)} | {""}))}
+        self.piece_of = np.full(len(nodes), -1, np.int64)
+        self.piece_of[[nodes[p] for p in self.pieces]] = list(self.pieces.values())
+        self.child = PairTable({(nodes[x[:-1]], int(self.char[ord(x[-1])])): n for x, n in nodes.items() if x}, len(chars) + 1)
 
     def log_word(self, word: str) -> list[float]:
         return self.log_words([word])[0].tolist()
 
-    def log_words(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word in each language, over all segmentations: one forward pass for all words."""
-        unknown, walk = len(self.probabilities) - 1, self.walk
-        width = max(map(len, words), default=0) + 1
-        starts, ends, pieces = [], [], []
-        for w, word in enumerate(words):
-            base, n = w * width, len(word)
-            for a in range(n):
-                b, found = a + 1, walk.get(word[a])
-                if found is None or found < 0:
-                    starts.append(base + a)
-                    ends.append(base + b)
-                    pieces.append(unknown)
-                while found is not None:
-                    if found >= 0:
-                        starts.append(base + a)
-                        ends.append(base + b)
-                        pieces.append(found)
-                    b += 1
-                    found = walk.get(word[a:b]) if b <= n else None
-        start, end, piece = (np.array(x, np.int64) for x in (starts, ends, pieces))
-        forward = np.zeros((len(words) * width, len(self.languages)))
-        forward[::width] = 1.0
-        order = np.lexsort((end, end % width))
+    def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(start, end, piece) of each piece that occurs in a word, by end, and the cells a word takes.  A place is the
+        word's number times these cells plus the place in the word."""
+        unknown = len(self.probabilities) - 1
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width, n = int(sizes.max(initial=0)) + 1, len(words)
+        chars = self.char[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")].astype(np.int64)
+        word = np.repeat(np.arange(n), sizes)
+        at = np.arange(len(chars))  # of the letter that comes next
+        first = at - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left, node, begin = sizes[word] - first, np.zeros(len(chars), np.int64), first
+        starts, ends, pieces, length = [], [], [], 0
+        while len(at):  # all beginnings go one letter further
+            node, length = self.child(node, chars[at]).astype(np.int64), length + 1
+            on = node < ABSENT
+            piece = np.full(len(at), -1, np.int64)
+            piece[on] = self.piece_of[node[on]]
+            if length == 1:
+                piece[piece < 0] = unknown
+            hit = piece >= 0
+            starts.append(word[hit] * width + begin[hit])
+            ends.append(begin[hit] + length)
+            pieces.append(piece[hit])
+            on &= left > length
+            at, word, begin, left, node = at[on] + 1, word[on], begin[on], left[on], node[on]
+        start, end, piece = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (starts, ends, pieces))
+        order = np.argsort(end * n + start // width)
         start, end, piece = start[order], end[order], piece[order]
-        bounds = np.searchsorted(end % width, np.arange(1, width + 1))
-        for a, b in zip(bounds[:-1], bounds[1:]):  # all arcs that end at one place within their words
-            if a < b:
+        return start, start - start % width + end, piece, width
+
+    def log_words(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word in each language, over all segmentations."""
+        out = np.empty((len(words), len(self.languages)))
+        for some in batches_of(words):
+            if len(words[some[0]]) > SHORT:
+                for i in some:
+                    out[i] = self._log_long(words[i])
+                continue
+            own = [words[i] for i in some]
+            start, end, piece, width = self.arcs(own)
+            forward = np.zeros((len(own) * width, len(self.languages)))
+            forward[::width] = 1.0
+            for a, b in by_place(end, width):
                 first = np.flatnonzero(np.append(True, end[a + 1 : b] != end[a : b - 1]))
                 forward[end[a:b][first]] = np.add.reduceat(forward[start[a:b]] * self.probabilities[piece[a:b]], first, axis=0)
-        last = np.arange(len(words)) * width + np.fromiter(map(len, words), np.int64, len(words))
-        return np.log(np.maximum(forward[last], 1e-300))
+            last = np.arange(len(own)) * width + np.fromiter(map(len, own), np.int64, len(own))
+            out[some] = np.log(forward[last])
+        return out
+
+    def _log_long(self, word: str) -> np.ndarray:
+        """The same for one word: each place's sums are kept relative to the place before, so nothing underflows."""
+        unknown, get = len(self.probabilities) - 1, self.pieces.get
+        recent, total = [np.ones(len(self.languages))], np.zeros(len(self.languages))  # sums of the last places
+        for end in range(1, len(word) + 1):
+            arcs = [(k, p) for k in range(1, len(recent) + 1) if (p := get(word[end - k : end])) is not None]
+            if not arcs or arcs[0][0] != 1:
+                arcs.insert(0, (1, unknown))
+            now = sum(recent[-k] * self.probabilities[p] for k, p in arcs)
+            recent = [x / now for x in recent[-self.longest + 1 :]] + [np.ones_like(now)] if self.longest > 1 else [np.ones_like(now)]
+            total += np.log(now)
+        return total
+
+
+def batches_of(words: list[str]) -> Iterator[list[int]]:
+    """Numbers of words of similar length, CELLS cells at most together; longer words than SHORT apart from others."""
+    some: list[int] = []
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if some and ((len(some) + 1) * (len(words[i]) + 1) > CELLS or len(words[some[0]]) <= SHORT < len(words[i])):
+            yield some
+            some = []
+        some.append(i)
+    if some:
+        yield some
+
+
+def by_place(end: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Ranges of arcs that end at the same place within their words, first places first."""
+    bounds = np.searchsorted(end % width, np.arange(1, width + 1))
+    return [(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if a < b]
 
 
 def words_of(text: str) -> list[str]:
-    """Marked words in lower case; very long runs of letters in stretches."""
+    """Marked words in lower case."""
     out = []
     for w in _WORD.findall(text.lower()):
-        out += [MARK + w] if len(w) <= STRETCH else [(MARK if not i else "") + w[i : i + STRETCH] for i in range(0, len(w), STRETCH)]
+        if w.isalpha():
+            out.append(MARK + w)
+        else:
+            out += [MARK + x for x in "".join(c if c.isalpha() else " " for c in w).split()]
     return out
 
 
@@ -129,27 +179,29 @@ def fit(counts: dict[str, dict[str, int]], documents: dict[str, int], pieces: li
         # pieces start in proportion to how long they are: without this, whole words are never found
         p = np.array([4.0 ** len(x) for x in pieces] + [1e-6])
         p /= p.sum()
-        lattices = None
+        one = Model([language], index, p[:, None], np.ones(1))
+        words = list(counts[language])
+        lattices = []
+        for some in batches_of(words):
+            own = [words[i] for i in some]
+            *arcs, width = one.arcs(own)
+            lattices.append((*arcs, by_place(arcs[1], width), width, np.fromiter(map(len, own), np.int64, len(own)), np.array([counts[language][w] for w in own], float)))
         for _ in range(rounds):
-            one = Model([language], index, p[:, None], np.ones(1))
-            if lattices is None:
-                lattices = [(c, one.lattice(w)) for w, c in counts[language].items()]
             expected = np.zeros(n + 1)
-            value = p.tolist()
-            for count, lattice in lattices:
-                m = len(lattice)
-                forward = [1.0] + [0.0] * m
-                for end, arcs in enumerate(lattice, 1):
-                    forward[end] = sum(forward[a] * value[x] for a, x in arcs)
-                if forward[m] <= 0:
-                    continue
-                backward = [0.0] * m + [count / forward[m]]
-                for end in range(m, 0, -1):
-                    b = backward[end]
-                    for a, x in lattice[end - 1]:
-                        flow = b * value[x]
-                        backward[a] += flow
-                        expected[x] += forward[a] * flow
+            for start, end, piece, places, width, sizes, times in lattices:
+                value, last = p[piece], np.arange(len(sizes)) * width + sizes
+                forward, backward = np.zeros((2, len(sizes) * width))
+                forward[::width] = 1.0
+                for a, b in places:
+                    first = np.flatnonzero(np.append(True, end[a + 1 : b] != end[a : b - 1]))
+                    forward[end[a:b][first]] = np.add.reduceat(forward[start[a:b]] * value[a:b], first)
+                known = forward[last] > 1e-290  # a word of hundreds of unknown letters tells nothing
+                backward[last[known]] = times[known] / forward[last[known]]
+                flow = np.zeros(len(start))
+                for a, b in reversed(places):
+                    flow[a:b] = backward[end[a:b]] * value[a:b]
+                    np.add.at(backward, start[a:b], flow[a:b])
+                expected += np.bincount(piece, forward[start] * flow, n + 1)
             p = expected + FLOOR
             p[n] = expected[n] + UNKNOWN
             p /= p.sum()
@@ -190,10 +242,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 class Scorer:
-    """Scores texts, with the parts and words seen so far and their log probabilities in bounded caches."""
+    """Scores texts, with the parts and words seen so far and their log probabilities in caches of about most bytes."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = KEPT_BYTES):
         self.model, self.most = model, most
+        self.entry = 300 + 16 * (len(model.languages) + 1)  # bytes of a part, its word and their rows, about
         self._reset()
 
     def _reset(self) -> None:
@@ -210,16 +263,12 @@ class Scorer:
         return first
 
     def _learn(self, parts: set[str]) -> None:
-        if len(self.parts) + len(parts) > self.most:
-            self._reset()
         made = {x: words_of(x) for x in parts}
         new = list({w for ws in made.values() for w in ws}.difference(self.words))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            first = self._rows(len(some))
-            self.table[first : first + len(some), :-1] = self.model.log_words(some)
-            self.table[first : first + len(some), -1] = 1
-            self.words.update(zip(some, range(first, first + len(some))))
+        first = self._rows(len(new))
+        self.table[first : first + len(new), :-1] = self.model.log_words(new)
+        self.table[first : first + len(new), -1] = 1
+        self.words.update(zip(new, range(first, first + len(new))))
         for x, ws in made.items():
             if len(ws) == 1:
                 self.parts[x] = self.words[ws[0]]
@@ -235,7 +284,8 @@ class Scorer:
         split = [x.split() if x else [] for x in texts]
         wanted = {x for parts in split for x in parts}
         missing = wanted.difference(self.parts)
-        if len(self.parts) + len(missing) > self.most:
+        if (len(self.parts) + len(missing)) * self.entry > self.most:
+            self._reset()
             missing = wanted
         self._learn(missing)
         out = []
@@ -248,21 +298,11 @@ class Scorer:
             best = int(np.argmax(total))
             share = np.exp((total - total[best]) / math.sqrt(sums[-1]))
             out.append((self.model.languages[best], float(min(1.0, 1.0 / share.sum()))))
-        for x in [x for x in missing if len(x) > 256]:
-            del self.parts[x]
+        if any(len(x) > 256 for x in missing):
+            self._reset()  # very long words aren't kept
         return out
 
 
-_SCORER: list = []
-
-
-def worker_scorer(sent) -> Scorer:
-    """The scorer of this worker process for a broadcast model: a later task finds the words that earlier ones met."""
-    if not _SCORER or _SCORER[0] != sent.value.key:
-        _SCORER[:] = [sent.value.key, Scorer(sent.value)]
-    return _SCORER[1]
-
-
 def label(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with lang_col replaced by the predicted language, and the score as _score; other columns stay as they are."""
     if model is None:
@@ -272,10 +312,9 @@ def label(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col
     place = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_scorer(sent)
+        scorer = worker_state(("langid", sent.value.key), lambda: Scorer(sent.value))
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            found = [x for at in range(0, len(texts), 256) for x in scorer.scores(texts[at : at + 256])]
+            found = [x for a, b in slices(batch, text_col) for x in scorer.scores(batch.column(place)[a:b].to_pylist())]
             new = {lang_col: pa.array([x[0] for x in found], pa.string()), "_score": pa.array([x[1] for x in found], pa.float64())}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(docs_at[c]) for c in columns], columns)
 

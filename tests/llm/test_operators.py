@@ -388,10 +388,63 @@ def test_language_marginal_is_the_sum_over_segmentations():
             return 1.0
         return sum(p[i, 0] * total(word[len(x) :]) for i, x in enumerate(pieces) if word.startswith(x)) + (0 if word[0] in pieces else p[-1, 0] * total(word[1:]))
 
-    for w in ("▁ab", "▁abab", "▁bca"):
+    for w in ("▁ab", "▁abab", "▁bca", "▁c"):
         assert np.exp(model.log_word(w)[0]) == pytest.approx(total(w))
 
 
+def exact_log(word, pieces, p):
+    """Log of the sum over all segmentations in fractions, by a forward pass; p's last entry is an unknown letter's."""
+    from fractions import Fraction
+    from math import log
+
+    value = {x: Fraction(float(v)) for x, v in zip(pieces, p)}
+    forward = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        own = [forward[a] * value[word[a:end]] for a in range(max(0, end - 6), end) if word[a:end] in value]
+        forward.append(sum(own) + (0 if word[end - 1 : end] in value else forward[end - 1] * Fraction(float(p[-1]))))
+    return log(forward[-1].numerator) - log(forward[-1].denominator)
+
+
+def test_long_words_and_many_words_at_once():
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "aab"]
+    rng = np.random.default_rng(4)
+    table = rng.random((len(pieces) + 1, 2)) * np.array([1, 1e-9])  # two languages, one of tiny probabilities
+    model = langid.Model(["x", "y"], {x: i for i, x in enumerate(pieces)}, table, np.zeros(2))
+    words = ["▁" + "".join(rng.choice(list("abc"), n)) for n in (1, 2, 5, 22, 23, 24, 25, 48, 49, 500)] + ["▁" + "a" * 60]
+    found = model.log_words(words)
+    assert found == pytest.approx(np.array([[exact_log(w, pieces, table[:, k]) for k in (0, 1)] for w in words]), rel=1e-9)
+    assert np.array([model.log_word(w) for w in words]) == pytest.approx(found)
+
+
+def test_fit_is_expectation_maximisation():
+    """One round against expected counts over written-out segmentations."""
+    pieces, words = ["▁", "▁a", "a", "b", "ab"], {"▁ab": 3, "▁aab": 2, "▁bxa": 1}
+
+    def all_ways(word):
+        if not word:
+            return [[]]
+        own = [[x, *rest] for x in pieces if word.startswith(x) for rest in all_ways(word[len(x) :])]
+        return own + ([] if word[0] in pieces else [["?", *rest] for rest in all_ways(word[1:])])
+
+    p = {x: 4.0 ** len(x) for x in pieces} | {"?": 1e-6}
+    p = {x: v / sum(p.values()) for x, v in p.items()}
+    for _ in range(2):
+        expected = collections.Counter()
+        for w, n in words.items():
+            ways = [(np.prod([p[x] for x in way]), way) for way in all_ways(w)]
+            for v, way in ways:
+                for x in way:
+                    expected[x] += n * v / sum(u for u, _ in ways)
+        p = {x: expected[x] + (langid.UNKNOWN if x == "?" else langid.FLOOR) for x in p}
+        p = {x: v / sum(p.values()) for x, v in p.items()}
+    model = langid.fit({"x": words}, {"x": 1}, pieces, rounds=2)
+    assert model.probabilities[:, 0] == pytest.approx([*map(p.get, pieces), p["?"]])
+
+
+def test_words_are_letters():
+    assert langid.words_of("½ ² ① x² Ⅷ é1ß a_b") == ["▁x", "▁é", "▁ß", "▁a", "▁b"]
+
+
 def test_language_id(spark, docs, empty):
     rows = [(i, ("the thing is there and with this " if i % 2 else "der das und nicht eine schön ist ") * (1 + i % 5), "en" if i % 2 else "de", "s", 1, "d", 1, 1) for i in range(60)]
     known = spark.createDataFrame(rows + [(100, None, "en", "", 0, "", 0, 0), (101, "12 !!", "de", "", 0, "", 0, 0), (102, "q" * 9000, None, "", 0, "", 0, 0)], SCHEMA)
