@@ -2,9 +2,9 @@
 
 A text's UTF-8 bytes, zero-padded to a positive multiple of 64, are the samples of an 8-bit grey PNG 64 pixels wide.
 Payloads are addressed by their SHA-256: each task writes the distinct payloads among its rows into tar shards, and of a
-digest that several tasks met one place is chosen for all.  Rows carry the digest; the shard, offset and length of the
-stored form come from a table with one row per digest.  Metadata columns (width, height, depth) come from range reads of the
-image headers alone; features come from reading the stored bytes back.
+digest that several tasks met one place is chosen for all (the other copies cost disk, one a task at most, and are never
+read).  Rows carry digest, shard, offset and length of the stored form.  Range reads of the image headers alone fill the
+metadata columns (width, height, depth); features come from a second pass that reads the stored bytes back.
 
 Defined results: null text is empty (a payload of 64 zero bytes); equal texts refer to one stored payload; repeated rows and
 null ids are kept; an empty table gives no shards and no rows; columns other than id and text aren't read.
@@ -23,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import NewFile, arrow_schema, ddl, materialize, open_range, read_range, shared_dir, text_of
+from strataflow.llm.common import NewFile, arrow_schema, ddl, materialize, open_range, partitions_for, read_range, shared_dir, text_of
 
 WIDTH = 64
 #: A shard is closed at about this size.
 SHARD_BYTES = 64 << 20
 HEADER_BYTES = 33  # PNG signature and the whole IHDR chunk
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-PLACES = arrow_schema([("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("n_bytes", pa.int64())])
+PLACES = arrow_schema([("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 HEADERS = arrow_schema([("digest", pa.binary()), ("width", pa.int64()), ("height", pa.int64()), ("depth", pa.int64())])
-FEATURES = arrow_schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+FEATURES = arrow_schema([("digest", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("statistics", pa.string())])
+#: Stored payloads, and their bytes, that a reading task takes on, about.
+PER_TASK, BYTES_PER_TASK = 100_000, 256 << 20
 
 
 # --- payloads and images
@@ -109,7 +111,7 @@ class ShardWriter:
 
 
 def write_shards(texts: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Stores the distinct texts of column text; one row per digest: shard, offset, length, n_bytes.
+    """Stores the distinct texts of column text; one row per digest of a payload: shard, offset, length.
 
     Each task writes the payloads it meets, each once (the digests it has seen take 32 bytes each), so no payload is
     shuffled.  Of a payload that several tasks met, all rows refer to one stored copy; the others are never read.
@@ -121,13 +123,14 @@ def write_shards(texts: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES)
             rows = []
             for text in batch.column(0).to_pylist():
                 data = text.encode()
-                digest = hashlib.sha256(data).digest()
+                payload = pad(data)
+                digest = hashlib.sha256(payload).digest()
                 if digest in seen:
                     continue
                 seen.add(digest)
-                media = encode_png(pad(data))
+                media = encode_png(payload)
                 shard = shard or ShardWriter(f"{folder}/shards")
-                rows.append((digest, shard.file.name, shard.add(digest, media), len(media), len(data)))
+                rows.append((digest, shard.file.name, shard.add(digest, media), len(media)))
                 if shard.file.offset >= shard_bytes:
                     shard.close()
                     shard = None
@@ -136,13 +139,14 @@ def write_shards(texts: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES)
         if shard:
             shard.close()
 
-    place = F.struct("shard", "offset", "length", "n_bytes")
+    place = F.struct("shard", "offset", "length")
     kept = texts.mapInArrow(work, ddl(PLACES)).groupBy("digest").agg(F.min(place).alias("place")).select("digest", "place.*")
     return materialize(kept, f"{folder}/places")
 
 
 def _by_shard(places: DataFrame, work, schema: pa.Schema) -> DataFrame:
-    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = places.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    n = max(partitions_for(places.sparkSession, total[0], PER_TASK), partitions_for(places.sparkSession, total[1], BYTES_PER_TASK))
     return places.repartition(n, "shard", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset").mapInArrow(work, ddl(schema))
 
 
@@ -172,30 +176,49 @@ def media_headers(places: DataFrame, folder: str) -> DataFrame:
 
 
 def media_features(places: DataFrame, folder: str) -> DataFrame:
-    """One row per digest, all from the stored bytes: sizes, digests and features, header fields included."""
+    """One row per digest, all from the stored bytes: sizes, checksums and statistics of the samples."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row, h in _handles(folder, batch):
-                width, height, depth = png_header(read_range(h, row["offset"], HEADER_BYTES))
                 media = read_range(h, row["offset"], row["length"])
                 payload = decode_png(media)
-                if hashlib.sha256(payload[: row["n_bytes"]]).digest() != row["digest"]:
+                digest = hashlib.sha256(payload)
+                if digest.digest() != row["digest"]:
                     raise ValueError(f"{row['shard']} at {row['offset']} isn't the payload of its digest")
-                feature = f"png:{width}x{height}x{depth};{feature_of(payload)}"
-                rows.append((row["digest"], row["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                rows.append((row["digest"], len(payload), digest.hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), FEATURES.types)], schema=FEATURES)
 
     return _by_shard(places, work, FEATURES)
 
 
+def media_table(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Stores every document's payload.  (rows, places): doc_id, n_bytes and digest of each row; the shard, offset, length
+    and, from header reads, width, height and depth of each digest."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    places = write_shards(own.select("text"), folder)
+    placed = materialize(places.join(media_headers(places, folder), "digest"), f"{folder}/placed")
+    data = F.col("text").cast("binary")
+    n = F.octet_length("text")
+    zeros = F.unhex(F.repeat(F.lit("00"), F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH)))))
+    rows = own.select("doc_id", n.cast("long").alias("n_bytes"), F.unhex(F.sha2(F.concat(data, zeros), 256)).alias("digest"))
+    return rows, placed
+
+
 def media_roundtrip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every document's payload, reads it back; doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature."""
+    media_bytes, media_sha256, feature, and digest, shard, offset, length, width, height and depth of the stored form.
+
+    Equal texts have equal values.  Texts that differ only by zero bytes at their ends share a payload."""
     folder = shared_dir(docs.sparkSession, "media")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    features = materialize(media_features(write_shards(own.select("text"), folder), folder), f"{folder}/features")
-    rows = own.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
-    return rows.join(features, "digest").drop("digest").select("doc_id", *[f.name for f in FEATURES][1:])
+    rows, placed = media_table(docs, folder, id_col, text_col)
+    read = materialize(media_features(placed.select(*PLACES.names), folder), f"{folder}/features")
+    known = placed.join(read, "digest")
+    size = F.concat_ws("x", "width", "height", "depth")
+    return rows.join(known, "digest").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
+        F.concat(F.lit("png:"), size, F.lit(";"), F.col("statistics")).alias("feature"),
+        F.lower(F.hex("digest")).alias("digest"), "shard", "offset", "length", "width", "height", "depth",
+    )

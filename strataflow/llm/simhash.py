@@ -17,7 +17,8 @@ component has no other; an empty table gives no rows; columns other than id and
 
 The pipeline's stage (keep_one) has a measure of its own: exact Jaccard similarity of the sets of five-word shingles, 0.8
 or more, which is far outside two bits of a fingerprint, and where a search by bits would have to visit every range.
-Bands of hashed minima propose pairs, SimHash within a wide limit and the sets' sizes thin them out, texts decide.
+Bands of hashed minima and rare shingles propose pairs, SimHash within a wide limit, the sets' sizes and their minima thin
+them out, texts decide.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import arrow_schema, ddl, materialize, shared_dir, slices, text_of, without
+from strataflow.llm.common import arrow_schema, ddl, materialize, partitions_for, shared_dir, slices, text_of, without
 
 SHINGLE, SEED, LIMIT = 3, 42, 2
 #: Near copies by words, for the pipeline: words a shingle; the least Jaccard similarity, as a fraction.
@@ -42,9 +43,10 @@ BANDS, ROWS, WIDE = 28, 4, 28
 #: Of a pair that is in no copy group together, as many of the BANDS * ROWS minima are equal, or its texts aren't compared
 #: (at similarity 0.8 about 90 of 112 are, fewer than EQUAL with probability under 1e-6).
 EQUAL = 66
-#: A band's group of more rows is proposed anew by bands of more minima each (at 0.8 all miss a pair with probability 1e-6),
-#: and what is as large even then is compared block by block.
-GROUP, MORE_BANDS, MORE_ROWS = 2048, 75, 8
+#: Rows and shingles, about, of a block of a cluster: the texts of each two blocks are compared in one task.
+GROUP, GROUP_SHINGLES = 1024, 2_000_000
+#: Of clusters of more blocks, rows are compared by candidates.
+BLOCKS = 32
 #: Distinct fingerprints per range, about.
 PER_RANGE = 100_000
 FANOUT = 8
@@ -292,31 +294,31 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return ALIKE[1] * common >= ALIKE[0] * (len(a) + len(b) - common)
 
 
-def sketch(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[int, list[int], bytes]:
-    """(SimHash, a key per band, a byte of each minimum) of a shingle set.  A band's key hashes rows of the set's least
-    values, each under a multiplier of its own; sets of similarity s share a band with probability s ** rows."""
+def sketch(shingles: np.ndarray) -> tuple[int, list[int], bytes]:
+    """(SimHash, a key per band, a byte of each minimum) of a shingle set.  A band's key hashes ROWS of the set's least
+    values, each under a multiplier of its own; sets of similarity s share a band with probability s ** ROWS."""
     from xxhash import xxh64_intdigest
 
-    rng = np.random.default_rng(SEED + rows)
-    by, plus = rng.integers(0, 2**63, (2, bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least, counts = np.full(bands * rows, 2**64 - 1, np.uint64), np.zeros(64, np.int64)
+    rng = np.random.default_rng(SEED)
+    by, plus = rng.integers(0, 2**63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least, counts = np.full(BANDS * ROWS, 2**64 - 1, np.uint64), np.zeros(64, np.int64)
     for at in range(0, len(shingles), 2048):
         h = shingles[at : at + 2048]
         least = np.minimum(least, (h * by + plus).min(axis=1))
         counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     fp = np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")[0]
-    keys = least.reshape(bands, rows).astype("<u8")
+    keys = least.reshape(BANDS, ROWS).astype("<u8")
     return int(fp), [xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(keys)], least.astype(np.uint8).tobytes()
 
 
-def sketches(rows: DataFrame, text_col: str, bands: int = BANDS, minima: int = ROWS) -> DataFrame:
+def sketches(rows: DataFrame, text_col: str) -> DataFrame:
     """row, fp, size (of its shingle set), bands and minima of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch, "text"):
                 sets = [shingle_set(x) for x in batch.column(1)[a:b].to_pylist()]
-                made = [sketch(x, bands, minima) for x in sets]
+                made = [sketch(x) for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x[0] for x in made], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([x[1] for x in made], pa.list_(pa.int64())), pa.array([x[2] for x in made], pa.binary())], ["row", "fp", "size", "bands", "minima"])
 
     return rows.select(F.col("_row").alias("row"), text_of(text_col).alias("text")).mapInArrow(work, "row long, fp long, size long, bands array<long>, minima binary")
@@ -358,6 +360,26 @@ def verified(pairs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(work, ddl(LINKS))
 
 
+def rare_shingles(rows: DataFrame, text_col: str, folder: str) -> DataFrame:
+    """(key, row): the rarest fifth of each row's shingles and one more (rarest among rows, ties by hash), those that occur in
+    several rows.  Two sets of similarity 0.8 or more have one of these in common: they share four fifths of either."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = shingle_set(text).view(np.int64)
+                for at in range(0, len(found), 50_000):
+                    some = found[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), row)), pa.array(some)], ["row", "key"])
+
+    every = materialize(rows.select("_row", text_of(text_col).alias("text")).mapInArrow(work, "row long, key long"), f"{folder}/shingles")
+    counted = every.join(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    own = Window.partitionBy("row")
+    ranked = counted.withColumn("place", F.row_number().over(own.orderBy("n", "key"))).withColumn("size", F.count(F.lit(1)).over(own))
+    most = F.col("size") - F.ceil(F.col("size") * ALIKE[0] / ALIKE[1]) + 1
+    return ranked.filter((F.col("place") <= most) & (F.col("n") > 1)).select("key", "row")
+
+
 def other_pairs(members: DataFrame) -> DataFrame:
     """Pairs (u, v) of one group's members (key, row, fp, size, root, minima) of different roots that may be alike.
 
@@ -385,38 +407,102 @@ def other_pairs(members: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInArrow(work, ddl(LINKS)).distinct()
 
 
+def alike_pairs(sets: list[np.ndarray], roots: list[int], first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i > j, of sets of different roots that are alike: each set's common shingles with all others are
+    counted along the lists of places in which its shingles occur.  first: if above 0, i from there on, j before it."""
+    sizes = np.array([len(x) for x in sets])
+    owner, root = np.repeat(np.arange(len(sets)), sizes), np.array(roots)
+    _, name = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(name, kind="stable")
+    places, count = owner[order], np.bincount(name)
+    begin, ends = np.cumsum(count) - count, np.cumsum(sizes)
+    left, right = [], []
+    for i in range(max(1, first), len(sets)):
+        upto = first or i
+        own = name[ends[i] - sizes[i] : ends[i]]
+        own = own[count[own] > 1]
+        n = count[own]
+        if not len(own):
+            continue
+        at = np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(places[at], minlength=len(sets))[:upto]
+        j = np.flatnonzero((ALIKE[1] * common >= ALIKE[0] * (sizes[i] + sizes[:upto] - common)) & (root[:upto] != root[i]))
+        left.append(np.full(len(j), i))
+        right.append(j)
+    return tuple(np.concatenate(x or [np.zeros(0, np.int64)]) for x in (left, right))
+
+
+def compare_clusters(members: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """(u, v) of alike rows of different roots within each cluster.  members: cluster, blocks (of the cluster), row, root.
+
+    A cluster's rows are dealt into blocks, and each two blocks meet, so a row's text moves as often as there are blocks."""
+
+    def judge(held: list[tuple]) -> pa.RecordBatch:
+        low, high = held[0][1:3]
+        held.sort(key=lambda x: x[3])
+        made = alike_pairs([shingle_set(x[6]) for x in held], [x[5] for x in held], sum(x[3] == low for x in held) if low != high else 0)
+        row = np.array([x[4] for x in held], np.int64)
+        u, v = (row[x] for x in made)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], schema=LINKS)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for x in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != x[:3]:
+                    if len(held) > 1:
+                        yield judge(held)
+                    held = []
+                held.append(x)
+        if len(held) > 1:
+            yield judge(held)
+
+    texts = rows.select(F.col("_row").alias("row"), text_of(text_col).alias("text"))
+    own = members.withColumn("block", F.pmod(F.hash("row"), F.col("blocks")))
+    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j")))
+    dealt = own.withColumn("to", F.explode(to)).select("cluster", "to.i", "to.j", "block", "row", "root").join(texts, "row")
+    n = partitions_for(rows.sparkSession, members.count(), GROUP)
+    dealt = dealt.select("cluster", "i", "j", "block", "row", "root", "text").repartition(n, "cluster", "i", "j")
+    return dealt.sortWithinPartitions("cluster", "i", "j").mapInArrow(work, ddl(LINKS))
+
+
 def near_copies(rows: DataFrame, text_col: str, folder: str) -> DataFrame:
     """(u, v): each row (by _row) that isn't the least of its component of alike rows, with that least one.
 
-    Each band's members are compared with its least row first, so a large group of copies costs a comparison a member and
-    not one a pair.  What then lies in different components of one band is compared pair by pair, in large groups (a
-    passage that many texts share) only where bands of more minima agree too.
+    Each row is compared with one other first, the least of all bands' least rows, so a large group of copies costs a
+    comparison a member and not one a pair.  Rows of bands that then lie in different components form clusters.  The texts of
+    two blocks of a cluster meet in one task that counts common shingles; in clusters of too many blocks (a passage that many
+    texts share), rows are compared with those with which they have a rare shingle in common.
     """
     drawn = materialize(sketches(rows, text_col), f"{folder}/sketches")
     members = drawn.select("row", "fp", "size", F.explode("bands").alias("key"))
     least = members.groupBy("key").agg(F.min(F.struct("row", "fp", "size")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = materialize(members.join(least, "key").filter("row != least.row"), f"{folder}/met")
-    near = met.filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= WIDE) & (ALIKE[1] * F.least("size", "least.size") >= ALIKE[0] * F.greatest("size", "least.size")))
-    pairs = materialize(likely(near.select(F.col("row").alias("u"), F.col("least.row").alias("v")).distinct(), drawn), f"{folder}/pairs")
+    met = materialize(members.join(least.select("key", "least"), "key"), f"{folder}/met")
+    near = met.filter((F.col("row") != F.col("least.row")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= WIDE) & (ALIKE[1] * F.least("size", "least.size") >= ALIKE[0] * F.greatest("size", "least.size")))
+    pairs = materialize(likely(near.groupBy(F.col("row").alias("u")).agg(F.min("least.row").alias("v")), drawn), f"{folder}/pairs")
     stars = components(materialize(verified(pairs, rows, text_col), f"{folder}/found"), f"{folder}/first")
     roots = stars.select(F.col("u").alias("row"), F.col("v").alias("root"))
 
     def mixed(found: DataFrame, name: str) -> DataFrame:
-        """found (key, row, fp, size) with root, and the number n of each key's rows, of keys with several roots."""
-        rooted = materialize(found.join(roots, "row", "left").select("key", "row", "fp", "size", F.coalesce("root", "row").alias("root")), f"{folder}/{name}")
-        keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("key", "n")
-        return materialize(rooted.join(keys, "key"), f"{folder}/{name}-mixed")
-
-    left = mixed(met.filter("n > 2").select("key", "row", "fp", "size"), "left")
-    more = [other_pairs(left.filter(F.col("n") <= GROUP).join(drawn.select("row", "minima"), "row"))]
-    large = materialize(left.filter(F.col("n") > GROUP).select("row").distinct(), f"{folder}/large")
+        """found (key, row) with root, and the least row of each key (hub), of the keys whose rows have several roots."""
+        rooted = materialize(found.join(roots, "row", "left").select("key", "row", F.coalesce("root", "row").alias("root")), f"{folder}/{name}")
+        keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("row").alias("hub")).filter("a < b").select("key", "hub")
+        return rooted.join(keys, "key")
+
+    left = materialize(mixed(met.select("key", "row"), "left").select("row", "root", "hub").distinct(), f"{folder}/unsure")
+    clusters = components(left.select(F.col("row").alias("u"), F.col("hub").alias("v")), f"{folder}/clusters").select(F.col("u").alias("row"), F.col("v").alias("cluster"))
+    named = left.select("row", "root").distinct().join(clusters, "row", "left").join(drawn.select("row", "size"), "row").select(F.coalesce("cluster", "row").alias("cluster"), "row", "root", "size")
+    named = materialize(named, f"{folder}/named")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("size") / GROUP_SHINGLES)).cast("int")
+    sizes = named.groupBy("cluster").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    sized = named.join(sizes, "cluster").select("cluster", "blocks", "row", "root")
+    large = materialize(sized.filter(F.col("blocks") > BLOCKS).select("row"), f"{folder}/in-large")
+    found = [compare_clusters(sized.filter(F.col("blocks") <= BLOCKS), rows, text_col)]
     if large.head(1):
-        # rows of large groups only: their members' other bands, and a group's least row, were compared above
-        again = sketches(rows.join(large, rows["_row"] == large["row"], "left_semi"), text_col, MORE_BANDS, MORE_ROWS)
-        again = materialize(again.select("row", "fp", "size", F.explode("bands").alias("key")), f"{folder}/again")
-        more.append(other_pairs(mixed(again, "large-left").join(drawn.select("row", "minima"), "row")))
-    pairs = materialize(reduce(DataFrame.unionByName, more).distinct(), f"{folder}/others")
-    found = materialize(verified(pairs, rows, text_col), f"{folder}/more")
+        rare = mixed(rare_shingles(rows.join(large, rows["_row"] == large["row"], "left_semi"), text_col, folder), "rare")
+        pairs = materialize(other_pairs(rare.drop("hub").join(drawn.select("row", "fp", "size", "minima"), "row")), f"{folder}/others")
+        found.append(verified(pairs, rows, text_col))
+    found = materialize(reduce(DataFrame.unionByName, found), f"{folder}/more")
     return components(stars.unionByName(found), f"{folder}/second") if found.head(1) else stars
 
 

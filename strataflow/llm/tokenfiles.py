@@ -4,7 +4,7 @@ Rows are dealt out by ranges of doc_id, so part p holds smaller ids than part p
 as little-endian unsigned integers (16 bits if the vocabulary allows it, else 32), and NAME.idx: the magic word, width,
 counts, then 64-bit offsets (one more than documents) and 64-bit doc_ids with a byte per document that is 1 where doc_id
 is null.  A document's place in the whole is its part's base, a prefix sum over parts, plus its offset.  Files on a local
-or mounted path are memory-mapped; on another store the part is read by range.
+or mounted path are memory-mapped; on another store a part is read by ranges of about READ_BYTES.
 
 Defined results: null text is an empty document (its end id alone); null ids come first; repeated ids keep all their
 rows, ordered by a hash of their text; an empty table gives no rows; columns other than id and text aren't read.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import NewFile, arrow_schema, ddl, files_of, materialize, open_range, read_range, shared_dir, text_of
+from strataflow.llm.common import NewFile, arrow_schema, ddl, files_of, materialize, open_range, partitions_for, read_range, shared_dir, text_of
 from strataflow.llm.tokens import encoder
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
+#: Rows per part, about, and bytes read at once from a store that can't be mapped.
+PER_PART, READ_BYTES = 200_000, 8 << 20
 MAGIC = b"SFTOKEN1"
 _HEAD = struct.Struct("<8sQQQ")  # magic, bytes per id, documents, ids
 PARTS = arrow_schema([("part", pa.int64()), ("data", pa.string()), ("index", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
@@ -77,7 +80,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             index.commit()
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, out.name, index.name, len(ids), sum(lengths)), PARTS.types)], schema=PARTS)
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(docs.sparkSession, docs.count(), PER_PART)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt = own.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -90,13 +93,21 @@ def with_bases(parts: DataFrame) -> DataFrame:
     return parts.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long"))
 
 
-def mapped_ids(folder: str, name: str, width: int) -> np.ndarray:
-    """A part's ids: a memory map where the file has a local path, else read from the store."""
+def part_ids(folder: str, name: str, width: int, offsets: list[int]) -> Iterator[np.ndarray]:
+    """Each document's ids: from a memory map where the file has a local path, else from ranges of whole documents."""
     fs, root = files_of(folder)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(f"{root}/{name}", f"<u{width}", "r")
+        ids = np.memmap(f"{root}/{name}", f"<u{width}", "r")
+        yield from (ids[a:b] for a, b in zip(offsets, offsets[1:]))
+        return
     with open_range(folder, name) as handle:
-        return np.frombuffer(read_range(handle, 0, handle.size()), f"<u{width}")
+        first = 0
+        while first < len(offsets) - 1:
+            last = max(first + 1, bisect_right(offsets, offsets[first] + READ_BYTES // width) - 1)
+            base = offsets[first]
+            ids = np.frombuffer(read_range(handle, base * width, (offsets[last] - base) * width), f"<u{width}")
+            yield from (ids[offsets[k] - base : offsets[k + 1] - base] for k in range(first, last))
+            first = last
 
 
 def read_token_files(parts: DataFrame, folder: str) -> DataFrame:
@@ -107,12 +118,12 @@ def read_token_files(parts: DataFrame, folder: str) -> DataFrame:
             for data, index, base in zip(*(batch.column(c).to_pylist() for c in ("data", "index", "base"))):
                 with open_range(folder, index) as handle:
                     width, offsets, doc_ids = parse_index(read_range(handle, 0, handle.size()))
-                ids, at = mapped_ids(folder, data, width), offsets.tolist()
-                rows = [(d, base + a, b - a, zlib.crc32(ids[a:b].astype("<u4"))) for d, a, b in zip(doc_ids, at, at[1:])]
+                at = offsets.tolist()
+                rows = [(d, base + a, len(ids), zlib.crc32(ids.astype("<u4"))) for d, a, ids in zip(doc_ids, at, part_ids(folder, data, width, at))]
                 for k in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[k : k + 10_000])], schema=ROWS)
 
-    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(parts.sparkSession, parts.count(), 1)  # a part a task
     return with_bases(parts).select("data", "index", "base").repartition(n).mapInArrow(work, ddl(ROWS))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import NewFile, arrow_schema, ddl, materialize, open_range, read_range, shared_dir
+from strataflow.llm.common import NewFile, arrow_schema, ddl, materialize, open_range, partitions_for, read_range, shared_dir
 
 #: Payloads of this many bytes or more are stored once.
 LEAST = 1000
@@ -253,7 +253,7 @@ def read_packages(manifest: DataFrame, folder: str) -> DataFrame:
                 for at in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 10_000]), RECORDS.types)], schema=RECORDS)
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(manifest.sparkSession, manifest.count(), 1)  # a package a task
     return manifest.select("package").repartition(n).mapInArrow(work, ddl(RECORDS))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -123,6 +124,20 @@ def test_token_files(docs, empty):
     assert tokenfiles.token_roundtrip(empty).collect() == []
 
 
+def test_token_files_by_range(tmp_path, monkeypatch):
+    """A store that can't be mapped is read by ranges; documents longer than a range come whole."""
+    import pyarrow.fs as pafs
+
+    lengths = [0, 3, 0, 50, 1, 7, 0]
+    offsets = np.cumsum([0, *lengths]).tolist()
+    ids = np.arange(sum(lengths), dtype="<u2")
+    (tmp_path / "x.bin").write_bytes(ids.tobytes())
+    remote = pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem())
+    monkeypatch.setattr(tokenfiles, "files_of", lambda folder: (remote, ""))
+    monkeypatch.setattr(tokenfiles, "READ_BYTES", 16)
+    assert [x.tolist() for x in tokenfiles.part_ids(str(tmp_path), "x.bin", 2, offsets)] == [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+
+
 def test_exact_dedup(spark, docs, empty):
     groups = collections.defaultdict(list)
     for i, t in pairs(docs):
@@ -173,9 +188,10 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).collect() == []
 
 
-@pytest.mark.parametrize("group", [simhash.GROUP, 8])  # 8: most groups go through further bands and blocks
-def test_near_copies_equal_brute_force(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "blocks"), [(simhash.GROUP, simhash.BLOCKS), (8, 99), (8, 1)])  # also many blocks, and candidates
+def test_near_copies_equal_brute_force(spark, monkeypatch, group, blocks):
     monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "BLOCKS", blocks)
     rng = random.Random(8)
     words = ["w%d" % i for i in range(3000)]
     made = []
@@ -513,21 +529,34 @@ def test_media(docs, empty):
         p = b + bytes(-len(b) % 64 or (0 if b else 64))
         want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
     out = media.media_roundtrip(docs).collect()
-    same([tuple(r)[:5] for r in out], want)
-    assert len({r.media_sha256 for r in out}) == len({t for _, t in pairs(docs)})
+    same([(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in out], want)
+    by = {x[3]: x for x in ((*w, t.encode()) for w, (_, t) in zip(want, pairs(docs)))}
+    for r in out:
+        payload = by[r.payload_sha256][5].ljust(r.payload_bytes, b"\0")
+        stored = media.encode_png(payload)
+        p = np.bincount(np.frombuffer(payload, np.uint8), minlength=256) / len(payload)
+        mean, seen = sum(payload) / len(payload), p[p > 0]
+        text = f"mean={mean:.3f};std={math.sqrt(sum((x - mean) ** 2 for x in payload) / len(payload)):.3f};entropy={abs(sum(seen * np.log2(seen))):.3f}"
+        assert (r.media_bytes, r.media_sha256, r.length) == (len(stored), hashlib.sha256(stored).hexdigest(), len(stored))
+        assert r.feature == f"png:64x{len(payload) // 64}x8;{text}" and (r.width, r.height, r.depth, r.digest) == (64, len(payload) // 64, 8, r.payload_sha256)
+    assert len({(r.shard, r.offset) for r in out}) == len({t.rstrip("\0") for _, t in pairs(docs)})
     assert media.media_roundtrip(empty).collect() == []
 
 
-def test_media_headers(spark, docs):
+def test_media_rows_point_into_the_shards(spark, docs):
     import tarfile
 
     folder = shared_dir(spark, "media-test")
-    places = media.write_shards(docs.select(F.coalesce("text", F.lit("")).alias("text")), folder)
-    heads = {r.digest: r for r in media.media_headers(places, folder).collect()}
-    for r in places.collect():
-        assert (heads[r.digest].width, heads[r.digest].depth) == (64, 8)
-        with tarfile.open(f"{folder.removeprefix('file://')}/shards/{r.shard}") as tar:  # any tar reader finds the payload
-            assert media.decode_png(tar.extractfile(f"{bytes(r.digest).hex()}.png").read())[: r.n_bytes] is not None
+    _, placed = media.media_table(docs, folder)
+    for r in placed.collect():
+        path = f"{folder.removeprefix('file://')}/shards/{r.shard}"
+        with tarfile.open(path) as tar:  # any tar reader finds the payload under its digest
+            stored = tar.extractfile(f"{bytes(r.digest).hex()}.png").read()
+        with open(path, "rb") as f:
+            f.seek(r.offset)
+            assert f.read(r.length) == stored
+        assert hashlib.sha256(media.decode_png(stored)).digest() == r.digest
+        assert (r.width, r.height, r.depth) == media.png_header(stored[: media.HEADER_BYTES])
 
 
 def test_warc(spark):
@@ -557,6 +586,27 @@ def test_zip_directory(tmp_path, monkeypatch):
             assert f.read(m.stored) == b"%d" % k * 400
 
 
+def test_pipeline_stages_on_odd_rows(spark, docs, empty, tmp_path):
+    """Null ids, repeated rows, null and empty texts and extra columns; and no rows at all."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    every = [tuple(r) for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        if name in ("exact_dedup", "simhash_near_dedup"):
+            assert not collections.Counter(tuple(r) for r in out.collect()) - collections.Counter(every)
+        none = stage(spark, empty, str(tmp_path))
+        assert none.columns == docs.columns and none.collect() == []
+    assert stages["packing"](spark, empty, str(tmp_path)).collect() == []
+    groups = {re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in every}
+    assert stages["exact_dedup"](spark, docs, str(tmp_path)).count() == len(groups)
+    assert stages["pii"](spark, docs, str(tmp_path)).filter("text is null").count() == sum(r[1] is None for r in every)
+    known = stages["language_id"](spark, docs, str(tmp_path)).collect()
+    assert known and all(any(c.isalpha() for c in r.text) for r in known)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
