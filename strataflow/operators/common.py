@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder under spark.checkpoint.dir; a temporary one where that isn't set in a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/strataflow-shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/strataflow-shared"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a block of descriptors; a task compares one block with another.
-BLOCK = 8192
+BLOCK = 2048
 # Largest ratio of best to second angle, largest angle.
 MAX_RATIO, MAX_ANGLE = 0.8, 0.7
 
 
 def quantize(vector: Column) -> Column:
-    """Bytes of a vector scaled to unit length, 512 steps a unit, as 0 to 255."""
+    """Bytes of a vector scaled to unit length, 512 steps a unit, as 0 to 255; zeros for a zero vector, null for null."""
     size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    size = F.when(size > 0, size).otherwise(F.lit(1.0))
     return F.transform(vector, lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round(F.abs(x.cast("double")) * 512 / size).cast("int"))))
 
 
@@ -34,7 +35,8 @@ def top2(left: DataFrame, right: DataFrame) -> DataFrame:
     def work(table: pa.Table) -> pa.Table:
         side, ids = table["side"].to_numpy(), table["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        d = np.array(table["d"].to_pylist(), np.int32).reshape(len(ids), -1)[order]
+        # sums of up to 256 products of bytes stay below 2 ** 24, where 32-bit floats are whole numbers
+        d = np.array(table["d"].to_pylist(), np.float32).reshape(len(ids), -1)[order]
         side, ids = side[order], ids[order]
         products = d[side == 0] @ d[side == 1].T
         out = []
@@ -45,7 +47,7 @@ def top2(left: DataFrame, right: DataFrame) -> DataFrame:
             best = p.argmax(axis=1)
             value = p[np.arange(len(p)), best].astype(np.int64)
             rest = p.copy()
-            rest[np.arange(len(p)), best] = -1
+            rest[np.arange(len(p)), best] = -1.0
             out.append(pa.table([np.full(len(own), s, np.int32), own, value, other[best], rest.max(axis=1).astype(np.int64)], names=["side", "id", "best", "best_id", "second"]))
         return pa.concat_tables(out) if out else pa.schema([("side", pa.int32()), ("id", pa.int64()), ("best", pa.int64()), ("best_id", pa.int64()), ("second", pa.int64())]).empty_table()
 

@@ -62,3 +62,44 @@ def umeyama(pairs: DataFrame) -> tuple[float, np.ndarray, np.ndarray] | None:
     scale = float(np.trace(np.diag(d) @ sign) / s["var"])
     translation = np.array([s[f"mean_{b}"] for b in "uvw"]) - scale * rotation @ np.array([s[f"mean_{a}"] for a in "xyz"])
     return scale, rotation, translation
+
+
+def apply_similarity(model: tuple[float, np.ndarray, np.ndarray], names: tuple[str, ...] = ("x", "y", "z")) -> list:
+    """Columns of the moved point."""
+    scale, rotation, translation = model
+    return [sum(float(scale * rotation[i, j]) * F.col(n) for j, n in enumerate(names)) + float(translation[i]) for i in range(3)]
+
+
+def robust_umeyama(pairs: DataFrame, rounds: int = 5, factor: float = 3.0, least: float = 0.3):
+    """(similarity, median residual, kept) of pairs (x, y, z, u, v, w): fit, keep residuals below max(factor * median of the
+    kept ones, least), refit; None with fewer than three pairs.  It ends where fewer than three would stay; each round is two
+    aggregations over the pairs, with an exact median."""
+    use, model, bound, kept, middle = pairs, None, None, 0, None
+    for _ in range(max(1, rounds)):
+        fitted = umeyama(use)
+        if fitted is None:
+            break
+        model = fitted
+        residual = F.sqrt(sum((a - F.col(b)) ** 2 for a, b in zip(apply_similarity(model), "uvw")))
+        bound = max(factor * use.select(F.median(residual)).first()[0], least)
+        now = pairs.withColumn("_r", residual).filter(F.col("_r") < bound)
+        kept, middle = now.agg(F.count(F.lit(1)), F.median("_r")).first()
+        if kept < 3:
+            break
+        use = now.drop("_r")
+    return None if model is None else (model, middle, kept)
+
+
+def collinearity_ratio(points: DataFrame) -> float:
+    """Ratio of the second to the first singular value of centred positions (x, y, z), 1 below three points."""
+    names = "xyz"
+    s = points.agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(a, b).alias(a + b) for a in names for b in names]).first()
+    if s["n"] < 3:
+        return 1.0
+    values = np.sqrt(np.maximum(np.linalg.eigvalsh(np.array([[s[a + b] for a in names] for b in names])), 0.0))[::-1]
+    return float(values[1] / values[0]) if values[0] > 0 else 1.0
+
+
+def stage_times(times: DataFrame) -> DataFrame:
+    """(stage, total, n) of times (stage, seconds)."""
+    return times.groupBy("stage").agg(F.sum("seconds").alias("total"), F.count(F.lit(1)).alias("n"))

@@ -357,7 +357,7 @@ def neighbour_views(spark, sf_dir):
 
 @query("""
     WITH s AS (SELECT l_orderkey AS key, l_quantity AS depth, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_quantity * (1 + (l_discount - 0.03)) END AS observed FROM lineitem),
-         v AS (SELECT key, count_if(abs((observed - depth) / depth) <= 0.0205) AS supports, count_if((observed - depth) / depth > 0.0205) AS violations FROM s WHERE observed > 0 GROUP BY key)
+         v AS (SELECT key, count_if(abs(depth - observed) <= 0.0205 * observed) AS supports, count_if(depth < observed * (1 - 0.0205)) AS violations FROM s WHERE observed > 0 GROUP BY key)
     SELECT key FROM v WHERE violations < 2 OR violations <= supports""")
 def visibility_filter(spark, sf_dir):
     observed = F.when(F.col("l_linenumber") == 7, 0.0).otherwise(F.col("l_quantity") * (1 + (F.col("l_discount") - 0.03)))
@@ -396,3 +396,6 @@ def similarity_transform(spark, sf_dir):
 def image_names(spark, sf_dir):
     name = F.format_string("%s/%s_%06d.jpg", "event_type", "event_type", "event_id")
     return table(spark, sf_dir, "events").select("event_id", ids.position_index(name).alias("index"), ids.image_folder(name).alias("folder"))
+
+
+from strataflow import scalar_queries  # noqa: E402,F401  adds its own queries

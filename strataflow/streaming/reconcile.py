@@ -8,8 +8,9 @@ and corrections do.  One state machine serves the batch form (rows of a node in
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,13 +32,17 @@ class Reconciler:
     revisions: dict[int, int] = field(default_factory=dict)
 
     def offer(self, source: int, sequence: int, revision: int) -> tuple[str, str | None, int | None, int]:
-        """(outcome, reason, position, sequences skipped)."""
+        """(outcome, reason, position, sequences skipped).  Under the strict policy whatever would be ignored is rejected."""
+        outcome, *rest = self._offer(source, sequence, revision)
+        return ("rejected" if outcome == "ignored" and self.policy == STRICT else outcome, *rest)
+
+    def _offer(self, source: int, sequence: int, revision: int) -> tuple[str, str | None, int | None, int]:
         if self.source is None:
             self.source = source
         if source != self.source:
             return "ignored", "foreign_source", None, 0
         if (known := self.revisions.get(sequence)) is not None:
-            at = self.order.index(sequence)
+            at = bisect_left(self.order, sequence)
             if revision == known:
                 return "duplicate", None, at, 0
             if revision < known:
@@ -53,9 +58,7 @@ class Reconciler:
         return "appended", None, len(self.order) - 1, skipped
 
     def _correct(self, sequence: int, revision: int, at: int) -> tuple[str, str | None, int | None, int]:
-        if self.policy == STRICT:
-            return "rejected", "correction", at, 0
-        if self.policy == APPEND_ONLY:
+        if self.policy in (APPEND_ONLY, STRICT):
             return "ignored", "correction", at, 0
         if self.policy == REPLAY_WINDOW and len(self.order) - at > self.window:
             return "ignored", "outside_window", at, 0
@@ -63,11 +66,9 @@ class Reconciler:
         return ("replayed" if self.policy == REPLAY_WINDOW else "invalidated"), None, at, 0
 
     def _late(self, sequence: int, revision: int) -> tuple[str, str | None, int | None, int]:
-        if self.policy == STRICT:
-            return "rejected", "late", None, 0
         if self.policy != REPLAY_WINDOW:
             return "ignored", "late", None, 0
-        at = sum(s < sequence for s in self.order)
+        at = bisect_left(self.order, sequence)
         if len(self.order) - at > self.window:
             return "ignored", "outside_window", None, 0
         self.order.insert(at, sequence)
@@ -113,7 +114,3 @@ def reconcile_stream(sets: DataFrame, policy: str = APPEND_ONLY, window: int = 8
 def summary(outcomes: DataFrame) -> DataFrame:
     """Counts by node and outcome, with the sequences skipped."""
     return outcomes.groupBy("node", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("skipped").alias("skipped"))
-
-
-def state_of(machine: Reconciler) -> dict:
-    return asdict(machine)

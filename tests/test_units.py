@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strataflow.functions import geodesy, ids
 from strataflow.functions import geometry as g
-from strataflow.functions import ids
-from strataflow.operators import clouds, display, graph, pairing, stats, tracks
+from strataflow.operators import clouds, display, graph, matching, pairing, stats, tracks
 from strataflow.plans import plan
 from strataflow.sources import ply, text
 from strataflow.streaming.reconcile import REPLAY_WINDOW, STRICT, Reconciler, reconcile, reconcile_stream
@@ -137,3 +137,49 @@ def test_plan():
     for bad in ("[zones]\nspam = 6", "[live]\npolicy = 'x'"):
         with pytest.raises(ValueError):
             plan.parse(bad)
+
+
+def test_poles_and_zero_inputs(spark):
+    b = geodesy.SEMI_MAJOR * (1 - geodesy.FLATTENING)
+    frame = spark.createDataFrame([(0.0, 0.0, b + 12.0), (0.0, 0.0, -b - 12.0), (1e-3, 0.0, b + 12.0)], "x double, y double, z double")
+    found = [tuple(r) for r in frame.select(*geodesy.ecef_to_lla(F.col("x"), F.col("y"), F.col("z"))).collect()]
+    assert [round(r[0], 6) for r in found] == [90.0, -90.0, 90.0] and all(abs(r[2] - 12.0) < 1e-3 for r in found)
+    one = spark.range(1)
+    row = one.select(g.quat_from_axis_angle(g.vec(0, 0, 0), F.lit(1.0)).alias("q"), g.quat_rotate(g.vec(0, 0, 0, 2), g.vec(1, 0, 0)).alias("v"), g.quat_angular_distance(g.vec(2, 0, 0, 0), g.vec(-3, 0, 0, 0)).alias("d"), matching.quantize(g.vec(0, 0)).alias("z"), g.mat_inverse(g.vec(*[1] * 9)).alias("m")).first()
+    assert (row.q, row.d, row.z, row.m) == ([1.0, 0.0, 0.0, 0.0], 0.0, [0, 0], None)
+    assert [round(x, 9) for x in row.v] == [-1.0, 0.0, 0.0]
+    samples = spark.createDataFrame([(1, 0.0, 2.0), (1, 0.0, 2.0), (2, 1.9, 2.0), (3, 1.0, 0.0), (4, 0.0, 2.0)], "key int, depth double, observed double")
+    assert {tuple(r) for r in clouds.visibility_votes(samples, 0.1).collect()} == {(1, 0, 2), (2, 1, 0), (4, 0, 1)}
+    assert sorted(r.key for r in clouds.visible_keys(samples, 0.1).collect()) == [2, 4]
+
+
+def test_keyed_diff_sees_nulls_and_keeps_the_first_of_a_key(spark):
+    schema = "key int, x double, y double, z double, color string, zone int"
+    before = spark.createDataFrame([(1, 0.0, 0.0, 0.0, None, 0), (2, 0.0, 0.0, 0.0, "r", None), (3, 0.0, 0.0, 0.0, "r", 1)], schema)
+    after = spark.createDataFrame([(1, 0.0, 0.0, 0.0, "r", 0), (2, 0.0, 0.0, 0.0, "r", 3), (3, float("nan"), 0.0, 0.0, "r", 1), (4, 1.0, 0.0, 0.0, "r", 2), (4, 9.0, 0.0, 0.0, "r", 3)], schema)
+    delta = display.keyed_diff(before, after)
+    assert sorted((r.op, r.key, r.zone) for r in delta.select("op", "key", F.coalesce("zone", F.lit(-1)).alias("zone")).collect()) == [("add", 2, 3), ("add", 4, 2), ("move", 1, 0), ("remove", 2, -1), ("remove", 3, 1)]
+    assert sorted((r.key, r.x, r.zone) for r in display.apply_delta(before, delta).collect()) == [(1, 0.0, 0), (2, 0.0, 3), (4, 1.0, 2)]
+
+
+def test_strict_rejects_whatever_would_be_ignored():
+    machine = Reconciler(STRICT)
+    offers = [(1, 1, 2), (2, 2, 0), (1, 1, 1), (1, 1, 3), (1, 1, 2), (1, 3, 0), (1, 2, 0), (1, 1, 9)]
+    assert [machine.offer(*x)[0] for x in offers] == ["appended", "rejected", "rejected", "rejected", "duplicate", "rejected", "appended", "rejected"]
+
+
+def test_required_tracks(spark):
+    own = {0: "abc", 1: "ab", 2: "ab", 3: "cd", 4: "d"}
+    members = spark.createDataFrame([(t, i) for t, images in own.items() for i in images], "track long, image string")
+    lengths = spark.createDataFrame([(t, len(x)) for t, x in own.items()], "track long, length long")
+    assert tracks.required_tracks(lengths, members, 0) == [0, 3]
+    assert tracks.required_tracks(lengths, members, 1) == [0, 3, 2, 4]
+    assert tracks.required_tracks(lengths, members, 9, limit=3) == [0, 3, 2]
+
+
+def test_view_graph_filters(spark):
+    q = lambda a: [math.cos(a / 2), 0.0, 0.0, math.sin(a / 2)]
+    edges = spark.createDataFrame([(1, 2, q(0.5), True), (2, 3, q(0.9), True), (7, 8, q(0.0), True), (3, 7, q(0.0), False)], "u long, v long, q array<double>, valid boolean")
+    rotations = spark.createDataFrame([(1, q(0.0)), (2, q(0.5)), (3, q(1.0))], "node long, q array<double>")
+    assert {(r.u, r.v): r.valid for r in graph.rotation_outliers(edges, rotations, 0.2).collect()} == {(1, 2): True, (2, 3): False, (7, 8): True, (3, 7): False}
+    assert {(r.u, r.v): r.valid for r in graph.invalidate_outside(edges).collect()} == {(1, 2): True, (2, 3): True, (7, 8): False, (3, 7): False}
