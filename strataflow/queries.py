@@ -351,7 +351,7 @@ def gps_roundtrip(spark, sf_dir):
     SELECT "view", neighbour, n, angle75 FROM (SELECT *, row_number() OVER (PARTITION BY "view" ORDER BY n DESC, neighbour) AS k FROM g) WHERE k <= 8""")
 def neighbour_views(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("view")).distinct()
-    shared = d.join(d.withColumnRenamed("view", "neighbour"), "p").filter("view != neighbour").select("view", "neighbour", ((F.col("view") * 7 + F.col("neighbour") * 7 + F.col("p") * 3) % 60).cast("double").alias("angle"))
+    shared = d.join(d.withColumnRenamed("view", "neighbour"), "p").filter("view < neighbour").select("view", "neighbour", ((F.col("view") * 7 + F.col("neighbour") * 7 + F.col("p") * 3) % 60).cast("double").alias("angle"))
     return tracks.neighbour_views(shared, 30.0, 8).select("view", "neighbour", "n", "angle75")
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 APPEND_ONLY, REPLAY_WINDOW, INVALIDATE_ZONES, STRICT = "append_only", "replay_window", "invalidate_zones", "strict"
@@ -85,8 +85,32 @@ def _run(machine: Reconciler, rows: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _append_only(sets: DataFrame) -> DataFrame:
+    """The append-only policy in windows: nothing that was accepted changes, so a sequence's first offer decides."""
+    by = Window.partitionBy("node").orderBy("arrival")
+    own = sets.withColumn("_foreign", F.col("source") != F.first("source").over(by))
+    own = own.withColumn("_newest", F.max(F.when(~F.col("_foreign"), F.col("sequence"))).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    same = Window.partitionBy("node", "_foreign", "sequence").orderBy("arrival")
+    own = own.withColumns({"_nth": F.row_number().over(same), "_given": F.first("revision").over(same), "_then": F.first("_newest").over(same)})
+    own = own.withColumn("_accepted", ~F.col("_foreign") & (F.col("_then").isNull() | (F.col("sequence") > F.col("_then"))))
+    fresh = F.col("_accepted") & (F.col("_nth") == 1)
+    place = F.sum(fresh.cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    own = own.withColumn("_place", place).withColumn("_at", F.first("_place").over(same))
+    given = F.col("_given")
+    outcome = F.when(fresh, "appended").when(F.col("_accepted") & (F.col("revision") == given), "duplicate").otherwise("ignored")
+    stale = F.when(F.col("revision") < given, "stale_revision").when(F.col("revision") > given, "correction")
+    reason = F.when(F.col("_foreign"), "foreign_source").when(~F.col("_accepted"), "late").otherwise(stale)
+    skipped = F.when(fresh, F.coalesce(F.col("sequence") - F.col("_then") - 1, F.lit(0))).otherwise(0)
+    return own.select("node", "arrival", "source", "sequence", "revision", outcome.alias("outcome"), reason.alias("reason"), F.when(F.col("_accepted"), F.col("_at")).alias("position"), skipped.cast("long").alias("skipped"))
+
+
 def reconcile(sets: DataFrame, policy: str = APPEND_ONLY, window: int = 8) -> DataFrame:
-    """Outcomes of a table of frame sets: node, arrival (order within a node), source, sequence, revision."""
+    """Outcomes of a table of frame sets: node, arrival (order within a node, distinct), source, sequence, revision.
+
+    Append-only runs in windows; the other policies, where later offers change what was accepted, run the state machine with
+    a node's rows in one task.  None of the columns may be null; an empty table gives no rows."""
+    if policy == APPEND_ONLY:
+        return _append_only(sets.select("node", "arrival", "source", "sequence", "revision"))
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         return _run(Reconciler(policy, window), rows)

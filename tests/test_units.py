@@ -183,3 +183,15 @@ def test_view_graph_filters(spark):
     rotations = spark.createDataFrame([(1, q(0.0)), (2, q(0.5)), (3, q(1.0))], "node long, q array<double>")
     assert {(r.u, r.v): r.valid for r in graph.rotation_outliers(edges, rotations, 0.2).collect()} == {(1, 2): True, (2, 3): False, (7, 8): True, (3, 7): False}
     assert {(r.u, r.v): r.valid for r in graph.invalidate_outside(edges).collect()} == {(1, 2): True, (2, 3): True, (7, 8): False, (3, 7): False}
+
+
+def test_append_only_windows_equal_the_state_machine(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(n), a, int(rng.integers(1, 3)) if a % 9 == 4 else 1, int(rng.integers(a // 4, a // 4 + 5)), int(rng.integers(0, 3))) for n in range(3) for a in range(80)]
+    found = reconcile(spark.createDataFrame(rows, "node long, arrival long, source long, sequence long, revision long")).collect()
+    want = []
+    for node in range(3):
+        machine = Reconciler()
+        want += [(*r, *machine.offer(*r[2:])) for r in rows if r[0] == node]
+    assert sorted(map(tuple, found), key=lambda r: r[:2]) == want
+    assert {r.outcome for r in found} == {"appended", "duplicate", "ignored"} and len({r.reason for r in found}) == 5
