@@ -433,16 +433,21 @@ def alike_pairs(sets: list[np.ndarray], roots: list[int], first: int = 0) -> tup
 
 
 def compare_clusters(members: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
-    """(u, v) of alike rows of different roots within each cluster.  members: cluster, blocks (of the cluster), row, root.
+    """Links (u, v) that span the components of alike rows within each cluster.  members: cluster, blocks (of the cluster),
+    row, root.
 
-    A cluster's rows are dealt into blocks, and each two blocks meet, so a row's text moves as often as there are blocks."""
+    A cluster's rows are dealt into blocks, and each two blocks meet, so a row's text moves as often as there are blocks.  Two
+    blocks give a spanning forest of their links, fewer than rows, never all pairs."""
 
     def judge(held: list[tuple]) -> pa.RecordBatch:
         low, high = held[0][1:3]
         held.sort(key=lambda x: x[3])
         made = alike_pairs([shingle_set(x[6]) for x in held], [x[5] for x in held], sum(x[3] == low for x in held) if low != high else 0)
-        row = np.array([x[4] for x in held], np.int64)
-        u, v = (row[x] for x in made)
+        row, forest = np.array([x[4] for x in held], np.int64), Forest(len(held))
+        forest.join(*made)
+        roots = forest.roots()
+        child = np.flatnonzero(roots != np.arange(len(roots)))
+        u, v = row[child], row[roots[child]]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], schema=LINKS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
