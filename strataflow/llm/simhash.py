@@ -482,7 +482,9 @@ def near_copies(rows: DataFrame, text_col: str, folder: str) -> DataFrame:
     drawn = materialize(sketches(rows, text_col), f"{folder}/sketches")
     members = drawn.select("row", "fp", "size", F.explode("bands").alias("key"))
     least = members.groupBy("key").agg(F.min(F.struct("row", "fp", "size")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = materialize(members.join(least.select("key", "least"), "key"), f"{folder}/met")
+    # Written, so that its true size decides on a broadcast, and a hot band's rows are split by the skew join beyond it.
+    least = materialize(least.select("key", "least"), f"{folder}/least")
+    met = materialize(members.join(least, "key"), f"{folder}/met")
     near = met.filter((F.col("row") != F.col("least.row")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= WIDE) & (ALIKE[1] * F.least("size", "least.size") >= ALIKE[0] * F.greatest("size", "least.size")))
     pairs = materialize(likely(near.groupBy(F.col("row").alias("u")).agg(F.min("least.row").alias("v")), drawn), f"{folder}/pairs")
     stars = components(materialize(verified(pairs, rows, text_col), f"{folder}/found"), f"{folder}/first")
