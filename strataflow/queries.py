@@ -398,4 +398,4 @@ def image_names(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", ids.position_index(name).alias("index"), ids.image_folder(name).alias("folder"))
 
 
-from strataflow import scalar_queries  # noqa: E402,F401  adds its own queries
+from strataflow import scalar_queries, store_queries  # noqa: E402,F401  add their own queries
