@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strataflow import store_queries
 from strataflow.functions import geometry as g
-from strataflow.operators import store
+from strataflow.operators import clouds, store
 from strataflow.queries import SQL
 
 XYZ = "id long, x double, y double, z double"
@@ -103,6 +103,16 @@ def test_nearest_at_any_distance(spark):
     assert found(store.nearest_any(points.limit(0), other, 0.3)) == []
 
 
+def test_nearest_counts_positions_once(spark, monkeypatch):
+    points = spark.createDataFrame([(i, float(i % 2), -0.0, 0.0) for i in range(20)] + [(7, 0.9, 0.0, 0.0), (99, 50.0, 0.0, 0.0), (98, None, 0.0, 0.0)], XYZ)
+    other = spark.createDataFrame([(100 + i, 0.5 + i % 2, 0.0, 0.0) for i in range(40)], XYZ)
+    meet, met = clouds.within_radius, []
+    monkeypatch.setattr(clouds, "within_radius", lambda *a: met.append(meet(*a)) or met[-1])
+    want = [(i, 100, 0.5) for i in range(20) if i != 7] + [(7, 100, 0.4)]
+    assert [(i, o, round(d, 9)) for i, o, d in found(clouds.nearest(points, other, 2.0))] == sorted(want)
+    assert met[0].count() == 6  # three positions, two of the reference
+
+
 def test_gps_about_an_origin(spark):
     own = spark.createDataFrame([(1, "a", 36.0, 127.0, 10.0), (0, "b", 36.0, 127.0, 4.0)], "ord long, name string, lat double, lon double, alt double")
     assert [(n, round(u, 6)) for n, u in found(store.gps_to_enu(own), "name", "up")] == [("a", 6.0), ("b", 0.0)]
