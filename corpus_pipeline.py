@@ -38,6 +38,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
+    SimHash fingerprints and their Gray-order index propose pairs, bands of minima those beyond its bits; texts decide.
     The row with the smallest id stays, null ids last; texts without words are alike; rows are told apart by keys of
     their own, so repeated ids don't matter; an empty table stays empty."""
     return simhash.keep_one(docs)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import posixpath
 import tempfile
@@ -56,6 +58,12 @@ def without(rows: DataFrame, drop: DataFrame, path: str, key: str = "_row") -> D
     return rows.join(F.broadcast(drop) if drop.count() <= BROADCAST_KEYS else drop, key, "left_anti")
 
 
+def among(rows: DataFrame, keep: DataFrame, path: str, key: str = "_row") -> DataFrame:
+    """rows whose key is in keep, before anything moves them: the list is written and broadcast as in without."""
+    keep = materialize(keep.select(key), path)
+    return rows.join(F.broadcast(keep) if keep.count() <= BROADCAST_KEYS else keep, key, "left_semi")
+
+
 def files_of(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI, for use on executors."""
     if "://" not in uri and not uri.startswith("file:"):
@@ -146,8 +154,14 @@ _STATE: list = []
 
 def worker_state(key, make):
     """What make() gave for this key in this worker process.  A worker keeps one operator's state: the one before is
-    dropped when another key is asked for, so what stages of a pipeline keep doesn't add up."""
+    dropped when another key is asked for, so what stages of a pipeline keep doesn't add up, and its memory goes back to
+    the system."""
     if not _STATE or _STATE[0] != key:
+        held = bool(_STATE)
         _STATE.clear()
+        if held:
+            gc.collect()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+                trim(0)
         _STATE.extend((key, make()))
     return _STATE[1]

@@ -16,9 +16,10 @@ than a shingle form one shingle; repeated rows and null ids are kept, component_
 component has no other; an empty table gives no rows; columns other than id and text aren't read.
 
 The pipeline's stage (keep_one) has a measure of its own: exact Jaccard similarity of the sets of five-word shingles, 0.8
-or more, which is far outside two bits of a fingerprint, and where a search by bits would have to visit every range.
-Bands of hashed minima and rare shingles propose pairs, SimHash within a wide limit, the sets' sizes and their minima thin
-them out, texts decide.
+or more.  The same index over the SimHash of these sets proposes the first pairs.  Most similar sets lie further apart
+than its two bits, and a search by that many bits would have to visit every range: for those, bands of hashed minima and
+rare shingles propose pairs besides, SimHash within a wide limit, the sets' sizes and their minima thin them out.  Texts
+decide on all of them.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import arrow_schema, ddl, materialize, partitions_for, shared_dir, slices, text_of, without
+from strataflow.llm.common import among, arrow_schema, ddl, materialize, partitions_for, shared_dir, slices, text_of, without, worker_state
 
 SHINGLE, SEED, LIMIT = 3, 42, 2
 #: Near copies by words, for the pipeline: words a shingle; the least Jaccard similarity, as a fraction.
@@ -315,6 +316,7 @@ def sketches(rows: DataFrame, text_col: str) -> DataFrame:
     """row, fp, size (of its shingle set), bands and minima of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near copies", dict)  # what the stage before kept in this worker goes
         for batch in batches:
             for a, b in slices(batch, "text"):
                 sets = [shingle_set(x) for x in batch.column(1)[a:b].to_pylist()]
@@ -324,6 +326,16 @@ def sketches(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.select(F.col("_row").alias("row"), text_of(text_col).alias("text")).mapInArrow(work, "row long, fp long, size long, bands array<long>, minima binary")
 
 
+def indexed_pairs(drawn: DataFrame, folder: str) -> DataFrame:
+    """(u, v), u > v: each row and the least one of its fingerprint, and the least rows of fingerprints that the Gray index
+    links.  As many as rows at most, with links of all fingerprints in reach of one another."""
+    nodes = materialize(drawn.groupBy("fp").agg(F.min("row").alias("first")), f"{folder}/prints")
+    equal = drawn.select("row", "fp").join(nodes, "fp").filter("row != first").select(F.col("row").alias("u"), F.col("first").alias("v"))
+    a, b = (nodes.select(F.col("fp").alias(c), F.col("first").alias(n)) for c, n in (("u", "a"), ("v", "b")))
+    near = links(nodes).join(a, "u").join(b, "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return materialize(equal.unionByName(near), f"{folder}/indexed")
+
+
 def likely(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
     """Those (u, v) of pairs of which EQUAL minima are equal."""
 
@@ -338,8 +350,9 @@ def likely(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(work, ddl(LINKS))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
-    """Those (u, v) of pairs whose rows' texts are alike."""
+def verified(pairs: DataFrame, rows: DataFrame, text_col: str, path: str) -> DataFrame:
+    """Those (u, v) of pairs whose rows' texts are alike; only texts of such rows move."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
 
@@ -355,7 +368,8 @@ def verified(pairs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
             same = pa.array([alike(of(i, x), of(j, y)) for i, j, x, y in zip(u, v, a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=LINKS).filter(same)
 
-    texts = rows.select("_row", text_of(text_col).alias("text"))
+    needed = pairs.select(F.col("u").alias("_row")).unionByName(pairs.select(F.col("v").alias("_row"))).distinct()
+    texts = among(rows, needed, path).select("_row", text_of(text_col).alias("text"))
     both = pairs.join(texts.select(F.col("_row").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("_row").alias("v"), F.col("text").alias("b")), "v")
     return both.select("u", "v", "a", "b").mapInArrow(work, ddl(LINKS))
 
@@ -432,7 +446,7 @@ def alike_pairs(sets: list[np.ndarray], roots: list[int], first: int = 0) -> tup
     return tuple(np.concatenate(x or [np.zeros(0, np.int64)]) for x in (left, right))
 
 
-def compare_clusters(members: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+def compare_clusters(members: DataFrame, rows: DataFrame, text_col: str, path: str) -> DataFrame:
     """Links (u, v) that span the components of alike rows within each cluster.  members: cluster, blocks (of the cluster),
     row, root.
 
@@ -462,7 +476,8 @@ def compare_clusters(members: DataFrame, rows: DataFrame, text_col: str) -> Data
         if len(held) > 1:
             yield judge(held)
 
-    texts = rows.select(F.col("_row").alias("row"), text_of(text_col).alias("text"))
+    needed = members.select(F.col("row").alias("_row")).distinct()
+    texts = among(rows, needed, path).select(F.col("_row").alias("row"), text_of(text_col).alias("text"))
     own = members.withColumn("block", F.pmod(F.hash("row"), F.col("blocks")))
     to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j")))
     dealt = own.withColumn("to", F.explode(to)).select("cluster", "to.i", "to.j", "block", "row", "root").join(texts, "row")
@@ -474,20 +489,26 @@ def compare_clusters(members: DataFrame, rows: DataFrame, text_col: str) -> Data
 def near_copies(rows: DataFrame, text_col: str, folder: str) -> DataFrame:
     """(u, v): each row (by _row) that isn't the least of its component of alike rows, with that least one.
 
-    Each row is compared with one other first, the least of all bands' least rows, so a large group of copies costs a
-    comparison a member and not one a pair.  Rows of bands that then lie in different components form clusters.  The texts of
-    two blocks of a cluster meet in one task that counts common shingles; in clusters of too many blocks (a passage that many
-    texts share), rows are compared with those with which they have a rare shingle in common.
+    Each row is compared with few others first, the least one of its fingerprint, those that the Gray index links and the
+    least of all bands' least rows, so a large group of copies costs a comparison a member and not one a pair.  Rows of bands
+    that then lie in different components form clusters.  The texts of two blocks of a cluster meet in one task that counts
+    common shingles; in clusters of too many blocks (a passage that many texts share), rows are compared with those with which
+    they have a rare shingle in common.
     """
     drawn = materialize(sketches(rows, text_col), f"{folder}/sketches")
-    members = drawn.select("row", "fp", "size", F.explode("bands").alias("key"))
-    least = members.groupBy("key").agg(F.min(F.struct("row", "fp", "size")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Written, so that its true size decides on a broadcast, and a hot band's rows are split by the skew join beyond it.
+    indexed = indexed_pairs(drawn, folder)
+    members = drawn.select("row", F.explode("bands").alias("key"))
+    least = members.groupBy("key").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Merged, never broadcast: the same shuffle in proportion at any size, and the skew join splits a hot band's rows.
     least = materialize(least.select("key", "least"), f"{folder}/least")
-    met = materialize(members.join(least, "key"), f"{folder}/met")
-    near = met.filter((F.col("row") != F.col("least.row")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= WIDE) & (ALIKE[1] * F.least("size", "least.size") >= ALIKE[0] * F.greatest("size", "least.size")))
-    pairs = materialize(likely(near.groupBy(F.col("row").alias("u")).agg(F.min("least.row").alias("v")), drawn), f"{folder}/pairs")
-    stars = components(materialize(verified(pairs, rows, text_col), f"{folder}/found"), f"{folder}/first")
+    met = materialize(members.join(least.hint("merge"), "key"), f"{folder}/met")
+    first = materialize(met.filter("row != least").select("row", "least").distinct(), f"{folder}/band-pairs")
+    other = drawn.select(F.col("row").alias("least"), F.col("fp").alias("least_fp"), F.col("size").alias("least_size"))
+    near = first.join(drawn.select("row", "fp", "size"), "row").join(other, "least")
+    near = near.filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("least_fp"))) <= WIDE) & (ALIKE[1] * F.least("size", "least_size") >= ALIKE[0] * F.greatest("size", "least_size")))
+    banded = likely(near.groupBy(F.col("row").alias("u")).agg(F.min("least").alias("v")), drawn)
+    pairs = materialize(indexed.unionByName(banded).distinct(), f"{folder}/pairs")
+    stars = components(materialize(verified(pairs, rows, text_col, f"{folder}/compared"), f"{folder}/found"), f"{folder}/first")
     roots = stars.select(F.col("u").alias("row"), F.col("v").alias("root"))
 
     def mixed(found: DataFrame, name: str) -> DataFrame:
@@ -504,11 +525,11 @@ def near_copies(rows: DataFrame, text_col: str, folder: str) -> DataFrame:
     sizes = named.groupBy("cluster").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     sized = named.join(sizes, "cluster").select("cluster", "blocks", "row", "root")
     large = materialize(sized.filter(F.col("blocks") > BLOCKS).select("row"), f"{folder}/in-large")
-    found = [compare_clusters(sized.filter(F.col("blocks") <= BLOCKS), rows, text_col)]
+    found = [compare_clusters(sized.filter(F.col("blocks") <= BLOCKS), rows, text_col, f"{folder}/clustered")]
     if large.head(1):
         rare = mixed(rare_shingles(rows.join(large, rows["_row"] == large["row"], "left_semi"), text_col, folder), "rare")
         pairs = materialize(other_pairs(rare.drop("hub").join(drawn.select("row", "fp", "size", "minima"), "row")), f"{folder}/others")
-        found.append(verified(pairs, rows, text_col))
+        found.append(verified(pairs, rows, text_col, f"{folder}/compared-others"))
     found = materialize(reduce(DataFrame.unionByName, found), f"{folder}/more")
     return components(stars.unionByName(found), f"{folder}/second") if found.head(1) else stars
 

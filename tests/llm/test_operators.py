@@ -217,6 +217,29 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, group, blocks):
     assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == sorted(set(forest.roots().tolist()))
 
 
+def test_near_copies_go_through_the_gray_index(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    made = [" ".join(rng.choices("abcdefgh", k=300)) for _ in range(40)]
+    made += [t + " z" for t in made[:20]] + [t.upper() for t in made[:10]] + ["", " "]
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    fp = np.array([simhash.sketch(simhash.shingle_set(t))[0] for t in made], np.int64).view(np.uint64)
+    want, got = simhash.Forest(len(made)), simhash.Forest(len(made))
+    want.join(*np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= simhash.LIMIT))
+    rows = frame.withColumnRenamed("doc_id", "_row")
+    found = simhash.indexed_pairs(simhash.sketches(rows, "text"), f"file://{tmp_path}").collect()
+    assert len(found) < len(made) and all(r.u > r.v for r in found)
+    got.join(np.array([r.u for r in found]), np.array([r.v for r in found]))
+    assert (got.roots() == want.roots()).all() and len(set(got.roots())) < 60
+    links, seen = simhash.links, []
+    monkeypatch.setattr(simhash, "links", lambda nodes, *a: seen.append(nodes.count()) or links(nodes, *a))
+    # no bands: what the index proposes is linked all the same
+    monkeypatch.setattr(simhash, "likely", lambda pairs, drawn: pairs.limit(0))
+    monkeypatch.setattr(simhash, "compare_clusters", lambda members, *a: members.select(F.col("row").alias("u"), F.col("row").alias("v")).limit(0))
+    left = {r.doc_id for r in simhash.keep_one(frame).collect()}
+    assert seen == [len(set(fp.tolist()))]
+    assert not left & set(range(60, 70)) and 71 not in left and set(range(20, 40)) <= left
+
+
 def test_one_row_stays_where_ids_are_null_or_repeat(spark):
     base = [[f"{c}{i}" for i in range(100)] for c in "abc"]
     near = [" ".join(x + [c]) for x in base for c in ("x", "y")]
