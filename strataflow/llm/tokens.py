@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from codecs import charmap_decode
 from collections.abc import Callable
 from struct import pack
 
@@ -24,6 +25,8 @@ from strataflow.llm.common import tokenizer_path, worker_state
 _CUT = re.compile(r"(?<=\S)(?=[ \n\t])")
 #: Characters that this module, the regex library and the tokenizers library class alike.
 _COMMON = re.compile(r"[\t\n\r -~¡-įĲ-ſ]*")
+#: Marks that often end a word.
+_MARKS = ".,;:!?)\"'"
 #: The pre-token pattern of the byte-level vocabulary; the other vocabulary's stands in its file.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -56,9 +59,6 @@ class Parts(dict):
     def __missing__(self, part: str) -> bytes:
         if (known := self.older.pop(part, None)) is None:
             known = self.encode(part)
-        return self.keep(part, known)
-
-    def keep(self, part: str, known: bytes) -> bytes:
         if len(part) <= self.longest:
             if self.held >= self.most:
                 self.older, self.held = dict(self), 0
@@ -86,22 +86,54 @@ class Encoder:
         self.added = re.compile("|".join(re.escape(x["content"]) for x in parsed["added_tokens"]) or "(?!)", re.IGNORECASE)
         self.lower = pre["type"] == "Sequence"
         self.pattern = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if self.lower else _BYTE_LEVEL)
-        self.letters = byte_letters()
-        self.longest = longest
+        #: The letters of all bytes as a decoding table, and that of the space before a part, which the other vocabulary drops.
+        self.letters = "".join(byte_letters()[b] for b in range(256))
+        self.space = "" if self.lower else self.letters[32]
+        #: What every added token's name holds, in capitals or not: a text without it needs no search.
+        self.sign = "<|" if all("<|" in x["content"] for x in parsed["added_tokens"]) else ""
         #: Parts that follow a space, without it; and parts as they are.
         self.after = Parts(self._after_space, most, longest)
         self.first = Parts(self._encode, most, longest)
 
     def _after_space(self, part: str) -> bytes:
-        if not part or part[-1].isspace():
+        if part.isalpha():
+            if (word := self._word(part)) is not None:  # one pre-token with its space
+                return self._merge(self.space + word)
+        elif not part or part[-1].isspace():
             raise Irregular(part)
-        return self._encode(" " + part)
+        elif (cut := self._cut(part)) is not None:
+            return self.after[cut[0]] + b"".join(map(self.first.__getitem__, cut[1:]))
+        return self._mixed(" " + part)
 
     def _encode(self, part: str) -> bytes:
-        if part.isascii() and (word := part[1:] if part[:1] == " " else part).isalpha():  # one pre-token
-            if self.lower:
-                return self._merge(word.lower())
-            return self._merge(part if word is part else self.letters[32] + word)
+        if part.isalpha():
+            if (word := self._word(part)) is not None:
+                return self._merge(word)
+        elif part[:1] == " " and part[1:].isalpha():
+            return self.after[part[1:]]
+        elif (cut := self._cut(part)) is not None:
+            return b"".join(map(self.first.__getitem__, cut))
+        return self._mixed(part)
+
+    def _word(self, part: str) -> str | None:
+        """The byte letters of a part of common letters, in the vocabulary's case."""
+        if part.isascii():
+            return part.lower() if self.lower else part
+        if _COMMON.fullmatch(part):
+            return charmap_decode((part.lower() if self.lower else part).encode(), "strict", self.letters)[0]
+
+    @staticmethod
+    def _cut(part: str) -> tuple[str, ...] | None:
+        """What stands before, at and after a line break with no white space beside it, or a word of common letters and the
+        marks that end it: pre-tokens never reach across (lower case turns some other letters into a letter and a mark)."""
+        if "\n" in part:
+            head, _, tail = part.partition("\n")
+            if head and tail and not head[-1].isspace() and not tail[0].isspace():
+                return head, "\n", tail
+        elif (word := part.rstrip(_MARKS)).isalpha() and (word.isascii() or _COMMON.fullmatch(word)):
+            return word, part[len(word) :]
+
+    def _mixed(self, part: str) -> bytes:
         if _COMMON.fullmatch(part):
             return b"".join(map(self._piece, self.pattern.findall(part.lower() if self.lower else part)))
         return self._whole(part)
@@ -111,21 +143,21 @@ class Encoder:
         return pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        """A pre-token's ids; many parts are a known word and a mark or line break."""
-        cache, key = (self.after, piece[1:]) if piece[0] == " " and not piece[-1].isspace() else (self.first, piece)
-        if (known := cache.get(key)) is None:
-            known = self._merge(piece.encode().decode("latin-1").translate(self.letters))
-            cache.keep(key, known)
-        return known
+        """A pre-token's ids; a word's are looked up and kept."""
+        if piece.isalpha():
+            return self.first[piece]
+        if piece[0] == " " and piece[1:].isalpha():
+            return self.after[piece[1:]]
+        return self._merge(charmap_decode(piece.encode(), "strict", self.letters)[0])
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, text: str) -> bytes:
-        if self.added.search(text):
+        if self.sign in text and self.added.search(text):
             return self._whole(text)
-        if self.lower and _COMMON.fullmatch(text):
+        if self.lower and (text.isascii() or _COMMON.fullmatch(text)):
             text = text.lower()
         head, *tail = text.split(" ")
         try:

@@ -111,6 +111,25 @@ def test_encoder_equals_library(name):
         assert e.ids([t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_with_marks_need_no_pattern(name, monkeypatch):
+    """A known word before a mark or a line break is looked up: neither the pattern nor the merge model is asked again."""
+    e, plain = tokens.Encoder(name), library(name)
+    e.ids(["a a word Word señor Señor a\nword a\nseñor", "word, word"])
+    for mark in (".", ",", ".,", "!)", "'.", '"', "'"):
+        e.ids([mark])
+    merged = []
+    merge = e._merge
+    monkeypatch.setattr(e, "_merge", lambda letters: merged.append(letters) or merge(letters))
+    monkeypatch.setattr(e, "_mixed", lambda part: pytest.fail(part))
+    for t in ("word, Word. señor., a!) word'. Señor\" word'", "a word.\nword, señor.\nword"):
+        assert e.ids([t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert not merged
+    monkeypatch.undo()
+    for t in ("dog's dogs' 's. a'll, it's.\nIt's", "x\n\ny. \n z\n", "x\n y", "².\nª, µ! ·. ½a b½, ÿ", "İ. ﬁ,\nﬁ a.\x0b b\x1c,", "naïve…, “word”.", ".\n.", "\nword.", "word.\n"):
+        assert e.ids([t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_token_files(docs, empty):
     plain = library(tokenfiles.VOCABULARY)
     ids = [(i, np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4")) for i, t in pairs(docs)]
