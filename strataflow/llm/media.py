@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strataflow.llm.common import NewFile, arrow_schema, ddl, materialize, open_range, partitions_for, read_range, shared_dir, text_of
 
@@ -31,8 +32,8 @@ SHARD_BYTES = 64 << 20
 HEADER_BYTES = 33  # PNG signature and the whole IHDR chunk
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 PLACES = arrow_schema([("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-HEADERS = arrow_schema([("digest", pa.binary()), ("width", pa.int64()), ("height", pa.int64()), ("depth", pa.int64())])
-FEATURES = arrow_schema([("digest", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("statistics", pa.string())])
+HEADERS = arrow_schema([("width", pa.int64()), ("height", pa.int64()), ("depth", pa.int64())])
+FEATURES = arrow_schema([("payload_bytes", pa.int64()), ("payload_digest", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_digest", pa.binary()), ("statistics", pa.string())])
 #: Stored payloads, and their bytes, that a reading task takes on, about.
 PER_TASK, BYTES_PER_TASK = 100_000, 256 << 20
 
@@ -144,12 +145,6 @@ def write_shards(texts: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES)
     return materialize(kept, f"{folder}/places")
 
 
-def _by_shard(places: DataFrame, work, schema: pa.Schema) -> DataFrame:
-    total = places.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    n = max(partitions_for(places.sparkSession, total[0], PER_TASK), partitions_for(places.sparkSession, total[1], BYTES_PER_TASK))
-    return places.repartition(n, "shard", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset").mapInArrow(work, ddl(schema))
-
-
 def _handles(folder: str, batch: pa.RecordBatch):
     """(row, open file) for each row of a batch that is sorted by shard."""
     handle, current = None, None
@@ -163,35 +158,40 @@ def _handles(folder: str, batch: pa.RecordBatch):
         handle.close()
 
 
-def media_headers(places: DataFrame, folder: str) -> DataFrame:
-    """digest, width, height and depth, from HEADER_BYTES of each stored image."""
+def _by_shard(places: DataFrame, folder: str, read, schema: pa.Schema) -> DataFrame:
+    """The rows of places and what read(row, open file) gives for each, in the order of the shards.
+
+    Rows keep their columns on the way, so no join has to bring them together again."""
+    total = places.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    n = max(partitions_for(places.sparkSession, total[0], PER_TASK), partitions_for(places.sparkSession, total[1], BYTES_PER_TASK))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(row["digest"], *png_header(read_range(h, row["offset"], HEADER_BYTES))) for row, h in _handles(folder, batch)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), HEADERS.types)], schema=HEADERS)
+            if rows := [read(row, h) for row, h in _handles(folder, batch)]:
+                added = [pa.array(x, t) for x, t in zip(zip(*rows), schema.types)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *schema.names])
+
+    out = StructType(places.schema.fields + StructType.fromDDL(ddl(schema)).fields)
+    return places.repartition(n, "shard", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset").mapInArrow(work, out)
 
-    return _by_shard(places, work, HEADERS)
+
+def media_headers(places: DataFrame, folder: str) -> DataFrame:
+    """places with width, height and depth, from HEADER_BYTES of each stored image."""
+    return _by_shard(places, folder, lambda row, h: png_header(read_range(h, row["offset"], HEADER_BYTES)), HEADERS)
 
 
 def media_features(places: DataFrame, folder: str) -> DataFrame:
-    """One row per digest, all from the stored bytes: sizes, checksums and statistics of the samples."""
+    """places with what the stored bytes give: sizes, checksums (digests in 32 bytes) and statistics of the samples."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for row, h in _handles(folder, batch):
-                media = read_range(h, row["offset"], row["length"])
-                payload = decode_png(media)
-                digest = hashlib.sha256(payload)
-                if digest.digest() != row["digest"]:
-                    raise ValueError(f"{row['shard']} at {row['offset']} isn't the payload of its digest")
-                rows.append((row["digest"], len(payload), digest.hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), FEATURES.types)], schema=FEATURES)
+    def read(row: dict, handle) -> tuple:
+        media = read_range(handle, row["offset"], row["length"])
+        payload = decode_png(media)
+        digest = hashlib.sha256(payload).digest()
+        if digest != row["digest"]:
+            raise ValueError(f"{row['shard']} at {row['offset']} isn't the payload of its digest")
+        return len(payload), digest, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).digest(), feature_of(payload)
 
-    return _by_shard(places, work, FEATURES)
+    return _by_shard(places, folder, read, FEATURES)
 
 
 def media_table(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -199,7 +199,7 @@ def media_table(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     and, from header reads, width, height and depth of each digest."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     places = write_shards(own.select("text"), folder)
-    placed = materialize(places.join(media_headers(places, folder), "digest"), f"{folder}/placed")
+    placed = materialize(media_headers(places, folder), f"{folder}/placed")
     data = F.col("text").cast("binary")
     n = F.octet_length("text")
     zeros = F.unhex(F.repeat(F.lit("00"), F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH)))))
@@ -214,11 +214,12 @@ def media_roundtrip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal texts have equal values.  Texts that differ only by zero bytes at their ends share a payload."""
     folder = shared_dir(docs.sparkSession, "media")
     rows, placed = media_table(docs, folder, id_col, text_col)
-    read = materialize(media_features(placed.select(*PLACES.names), folder), f"{folder}/features")
-    known = placed.join(read, "digest")
+    # payload_digest was read back and found equal to digest, the key that moves; features aren't written, for disk
+    known = media_features(placed, folder).drop("digest").withColumnRenamed("payload_digest", "digest")
     size = F.concat_ws("x", "width", "height", "depth")
     return rows.join(known, "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
+        "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("digest")).alias("payload_sha256"), "tail_crc32",
+        "media_bytes", F.lower(F.hex("media_digest")).alias("media_sha256"),
         F.concat(F.lit("png:"), size, F.lit(";"), F.col("statistics")).alias("feature"),
         F.lower(F.hex("digest")).alias("digest"), "shard", "offset", "length", "width", "height", "depth",
     )

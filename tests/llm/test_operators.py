@@ -601,6 +601,31 @@ def test_media_rows_point_into_the_shards(spark, docs):
         assert (r.width, r.height, r.depth) == media.png_header(stored[: media.HEADER_BYTES])
 
 
+def test_media_disk_beside_the_shards(spark):
+    """Bytes a payload that are shuffled, or written beside the shards, on top of what few rows take."""
+    from pathlib import Path
+
+    shared, context = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")), spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    def taken(n):
+        rng, known, moved = random.Random(n), set(shared.iterdir()), shuffled()
+        rows = [(i, rng.randbytes(rng.randint(1, 90)).hex()) for i in range(n)]
+        assert len(media.media_roundtrip(spark.createDataFrame(rows, "doc_id long, text string").cache()).collect()) == n
+        (folder,) = set(shared.iterdir()) - known
+        return shuffled() - moved, sum(f.stat().st_size for f in folder.glob("*/*.parquet"))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        (moved, written), (more_moved, more_written) = taken(1000), taken(9000)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (more_moved - moved) / 8000 < 420 and (more_written - written) / 8000 < 130, ((more_moved - moved) / 8000, (more_written - written) / 8000)
+
+
 def test_warc(spark):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a/é b", big, "z"), (2, None, big, "z"), (5, "u", big, "z"), (5, "u", big, "z"), (None, "n", big, "z"), (3, "u", "small", "z"), (4, "u", "small", "z"), (6, "u", None, "z"), (7, "u", "a\r\n\r\nb", "z")]
